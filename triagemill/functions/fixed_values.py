@@ -75,11 +75,13 @@ DEFANGED = (
 
 # --- Fixed values: indicator patterns ------------------------------------------------------------------------
 URL_PATTERN = r"""\bhttps?://[^\s"'<>)]+"""
-EMAIL_PATTERN = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
+EMAIL_LOCAL = r"[a-zA-Z0-9._%+-]"
+EMAIL_HOST = r"[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
 HEX_PATTERN = r"\b(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\b"
 CVE_PATTERN = r"\bCVE-\d{4}-\d{4,7}\b"
 IPV4_PATTERN = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
-DOMAIN_PATTERN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,24}\b"
+DOMAIN_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+DOMAIN_ENDING = r"[a-zA-Z]{2,24}\b"
 HEX_CATEGORY = {64: "sha256", 40: "sha1", 32: "md5"}
 CATEGORIES = ("cve", "domain", "email", "ipv4", "md5", "sha1", "sha256", "url")
 CONTEXT_RADIUS = 40

@@ -14,7 +14,9 @@ UNICODE_NO_CASE = "(?idU)"
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space at both ends (SQL ``trim`` only removes spaces)."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    blank = r"[\s\x1c-\x1f]"
+    # Possessive, and tried at the start of a run only, so that long runs of blanks cost no more than their length.
+    return F.regexp_replace(col, rf"(?U)\A{blank}++|(?<!{blank}){blank}++\z", "")
 
 
 def capture(col: Column, pattern: str, groups: int) -> Column:

@@ -6,7 +6,8 @@ needed, and a text is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +41,49 @@ def _is_known_domain(value: Column) -> Column:
     return ~lower.isin(*V.DOMAIN_STOP_LIST) & F.substring_index(lower, ".", -1).isin(*V.TOP_LEVEL_DOMAINS)
 
 
-# name -> (flags, pattern, a literal every match contains, category of a value, extra test of a value)
+# A domain is dotted labels and an alphabetic ending. Written that way, the regex engine recurses once per label and a
+# long dotted run overflows its stack. The labels of a run are fixed by its dots, so they can be taken possessively,
+# in a loop; if no ending follows them, the domain ends at the last label that starts with one.
+DOMAIN_RUN = rf"\b(?:{V.DOMAIN_LABEL}\.(?=[a-zA-Z0-9]))++(?:{V.DOMAIN_ENDING})?"
+
+
+# All starts in a run of local characters share what follows the run, so only the first word boundary of a run (or of
+# what the match before left of one) is worth a try. The characters before that boundary are group 1.
+EMAIL_RUN = rf"(?:\G|(?<!{V.EMAIL_LOCAL}))((?>{V.EMAIL_LOCAL}*?\b))({V.EMAIL_LOCAL}++@{V.EMAIL_HOST})"
+
+
+def _domain_of_run(run: Column) -> Column:
+    """The domain in a match of ``DOMAIN_RUN``, or an empty string."""
+    return F.when(F.endswith(run, F.lit(".")), F.regexp_extract(run, rf"^(.*\.{V.DOMAIN_ENDING})", 1)).otherwise(run)
+
+
+@dataclass(frozen=True)
+class _Search:
+    """One pass over the text.
+
+    ``literal`` stands in every match, so texts without it are not searched; with ``skips`` the match is group 2 and
+    group 1 is passed over; ``value`` narrows a match to the indicator; ``test`` drops indicators.
+    """
+
+    pattern: str
+    category: Callable[[Column], Column]
+    literal: str | None = None
+    skips: bool = False
+    value: Callable[[Column], Column] | None = None
+    test: Callable[[Column], Column] | None = None
+
+
+def _named(category: str) -> Callable[[Column], Column]:
+    return lambda value: F.lit(category)
+
+
 _SEARCHES = {
-    "url": (UNICODE_NO_CASE, V.URL_PATTERN, "://", lambda v: F.lit("url"), None),
-    "email": (UNICODE, V.EMAIL_PATTERN, "@", lambda v: F.lit("email"), None),
-    "hex": (UNICODE, V.HEX_PATTERN, None, _hex_category, None),
-    "cve": (UNICODE_NO_CASE, V.CVE_PATTERN, "-", lambda v: F.lit("cve"), None),
-    "ipv4": (UNICODE, V.IPV4_PATTERN, ".", lambda v: F.lit("ipv4"), _is_address),
-    "domain": (UNICODE, V.DOMAIN_PATTERN, ".", lambda v: F.lit("domain"), _is_known_domain),
+    "url": _Search(UNICODE_NO_CASE + V.URL_PATTERN, _named("url"), "://"),
+    "email": _Search(UNICODE + EMAIL_RUN, _named("email"), "@", skips=True),
+    "hex": _Search(UNICODE + V.HEX_PATTERN, _hex_category),
+    "cve": _Search(UNICODE_NO_CASE + V.CVE_PATTERN, _named("cve"), "-"),
+    "ipv4": _Search(UNICODE + V.IPV4_PATTERN, _named("ipv4"), ".", test=_is_address),
+    "domain": _Search(UNICODE + DOMAIN_RUN, _named("domain"), ".", value=_domain_of_run, test=_is_known_domain),
 }
 
 
@@ -55,50 +91,86 @@ def _search_of(category: str) -> str:
     return "hex" if category in V.HEX_CATEGORY.values() else category
 
 
-def _matches(text: Column, search: str, context: bool) -> Column:
-    """All matches in order as an array of structs.
+def _strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _possible(text: Column, search: _Search) -> Column:
+    return F.contains(text, F.lit(search.literal)) if search.literal else F.lit(True)
+
+
+def _entry(search: _Search, value: Column, nth: Column, context: Column) -> Column:
+    return F.struct(
+        search.category(value).alias("category"),
+        F.lower(value).alias("value_lc"),
+        nth.cast("int").alias("nth"),
+        value.alias("value"),
+        context.alias("context"),
+    )
+
+
+def _tested(search: _Search, entries: Column) -> Column:
+    return F.filter(entries, lambda e: search.test(e["value"])) if search.test else entries
 
-    The context comes from look-arounds on both sides of a match. A leading look-ahead for the pattern itself keeps
-    the look-behind from being tried where nothing matches, and texts without a match never reach those regexes.
+
+def _values(text: Column, search: _Search) -> Column:
+    """The matches of one search, in order, without context."""
+    values = F.when(
+        _possible(text, search), F.regexp_extract_all(text, F.lit(search.pattern), F.lit(2 if search.skips else 0))
+    ).otherwise(_strings())
+    if search.value:
+        values = F.transform(values, search.value)
+    return _tested(search, F.transform(values, lambda v, i: _entry(search, v, i, F.lit(None).cast("string"))))
+
+
+# Marks around a match: code points set aside by Unicode for internal use, never for interchange.
+OPEN, CLOSE, STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def _unmarked(col: Column) -> Column:
+    return F.replace(col, F.lit(CLOSE), F.lit(""))
+
+
+def _cut(text: Column, search: _Search) -> Column:
+    """The text cut before each match, the end of a match marked; the first piece is what precedes all matches."""
+    marked = F.regexp_replace(
+        text, search.pattern, f"$1{OPEN}$2{CLOSE}" if search.skips else f"{OPEN}$0{CLOSE}"
+    )
+    return F.when(_possible(text, search), F.split(marked, OPEN, -1)).otherwise(_strings())
+
+
+def _values_in_context(pieces: Column, search: _Search) -> Column:
+    """The matches of one search with what stands around them.
+
+    The context is taken from the pieces next to a match. As each holds a character at least, as many pieces as the
+    radius always do, and one is mostly enough.
     """
-    flags, pattern, literal, category, test = _SEARCHES[search]
-    plain = flags + pattern
     radius = V.CONTEXT_RADIUS
-    around = (
-        f"{flags}(?={pattern})(?<=(\\A(?s:.){{0,{radius - 1}}}|(?s:.){{{radius}}}))"
-        f"({pattern})(?=((?s:.){{0,{radius}}}))"
-    )
-    possible = F.contains(text, F.lit(literal)) if literal else F.lit(True)
-
-    def entry(value: Column, before: Column | None, after: Column | None, nth: Column) -> Column:
-        if context:
-            snippet = strip(F.replace(F.concat(before, value, after), F.lit("\n"), F.lit(" ")))
-        else:
-            snippet = F.lit(None).cast("string")
-        return F.struct(
-            category(value).alias("category"),
-            F.lower(value).alias("value_lc"),
-            nth.cast("int").alias("nth"),
-            value.alias("value"),
-            snippet.alias("context"),
+
+    def near(start: Column, length: Column) -> Column:
+        return _unmarked(F.array_join(F.slice(pieces, start, length), ""))
+
+    def found(piece: Column, i: Column) -> Column:
+        match = F.substring_index(piece, CLOSE, 1)
+        return F.when(
+            i > 0,
+            F.struct(
+                i.alias("i"), _unmarked(piece).alias("piece"), (search.value(match) if search.value else match).alias("value")
+            ),
         )
 
-    if context:
-        hit = possible & text.rlike(plain)
-        sides = [
-            F.when(hit, F.regexp_extract_all(text, F.lit(around), F.lit(g))).otherwise(
-                F.array().cast("array<string>")
-            )
-            for g in (2, 1, 3)
-        ]
-        zipped = F.arrays_zip(*sides)
-        entries = F.transform(zipped, lambda m, i: entry(m["0"], m["1"], m["2"], i))
-    else:
-        values = F.when(possible, F.regexp_extract_all(text, F.lit(plain), F.lit(0))).otherwise(
-            F.array().cast("array<string>")
+    def entry(match: Column, nth: Column) -> Column:
+        i, value = match["i"], match["value"]
+        last = _unmarked(F.get(pieces, i - 1))
+        before = F.when(F.length(last) >= radius, last).otherwise(
+            near(F.greatest(i - radius, F.lit(0)) + 1, F.least(i, F.lit(radius)))
         )
-        entries = F.transform(values, lambda v, i: entry(v, None, None, i))
-    return F.filter(entries, lambda e: test(e["value"])) if test else entries
+        rest = F.substr(match["piece"], F.length(value) + 1)
+        after = F.when(F.length(rest) >= radius, rest).otherwise(F.concat(rest, near(i + 2, F.lit(radius))))
+        around = F.concat(F.right(before, F.lit(radius)), value, F.left(after, F.lit(radius)))
+        return _entry(search, value, nth, strip(F.replace(around, F.lit("\n"), F.lit(" "))))
+
+    return F.transform(_tested(search, F.array_compact(F.transform(pieces, found))), entry)
 
 
 def with_indicators(
@@ -114,11 +186,21 @@ def with_indicators(
     """
     wanted = list(categories)
     searches = list(dict.fromkeys(_search_of(c) for c in wanted))
-    refanged = pin(alerts, "_refanged", refang(F.coalesce(F.col(text), F.lit(""))))
-    found = F.concat(*(_matches(F.col("_refanged"), s, context) for s in searches))
+    searched = refang(F.coalesce(F.col(text), F.lit("")))
+    if context:
+        # The marks may not stand in the text that is searched; another such code point matches just the same.
+        for mark in (OPEN, CLOSE):
+            searched = F.replace(searched, F.lit(mark), F.lit(STAND_IN))
+        rows = pin(alerts, "_searched", searched)
+        rows = pin(rows, "_cut", F.struct(*(_cut(F.col("_searched"), _SEARCHES[s]).alias(s) for s in searches)))
+        found = [_values_in_context(F.col("_cut")[s], _SEARCHES[s]) for s in searches]
+    else:
+        rows = pin(alerts, "_searched", searched)
+        found = [_values(F.col("_searched"), _SEARCHES[s]) for s in searches]
+    listed = F.concat(*found)
     if set(wanted) != set(V.CATEGORIES):
-        found = F.filter(found, lambda e: e["category"].isin(*wanted))
-    all_found = pin(refanged, "_found", F.sort_array(found)).drop("_refanged")
+        listed = F.filter(listed, lambda e: e["category"].isin(*wanted))
+    rows = pin(rows, "_found", F.sort_array(listed)).drop("_searched", "_cut")
 
     def is_first(entry: Column, i: Column) -> Column:
         previous = F.get(F.col("_found"), i - 1)
@@ -128,7 +210,7 @@ def with_indicators(
             | (previous["value_lc"] != entry["value_lc"])
         )
 
-    return pin(all_found, out, F.filter("_found", is_first)).drop("_found")
+    return pin(rows, out, F.filter("_found", is_first)).drop("_found")
 
 
 def extract_indicators(

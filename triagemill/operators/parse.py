@@ -89,7 +89,7 @@ def parse_syslog(
     """
     now = ntz_literal(as_of) if as_of is not None else F.localtimestamp()
     keep = [c for c in lines.columns if c != value]
-    raw = F.regexp_replace(F.col(value), r"\n+\z", "")
+    raw = F.regexp_replace(F.col(value), r"(?<!\n)\n++\z", "")
 
     shaped = lines.select(*keep, raw.alias("raw")).select(
         *keep, "raw", F.when(~F.contains("raw", F.lit("\n")), capture(F.col("raw"), LINE, LINE_GROUPS)).alias("_p")

@@ -25,6 +25,17 @@ PROCESS_SCHEMA = (
 )
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table, spread over the cores if its files make fewer splits than there are cores.
+
+    The operators are heavy on CPU per byte, so a table too small to fill the cluster is worth a shuffle of its few
+    rows. A large table has more splits than cores and is read as it lies.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """A feed document ``{"indicators": [...]}`` as a lookup table with unique keys."""
     doc = spark.read.schema(FEED_SCHEMA).json(path, multiLine=True)

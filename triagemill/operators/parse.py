@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.pin import pin
 from ..functions.text import UNICODE, capture, strip
-from ..functions.time import ntz_literal
 
 # --- Fixed values: shape of a line, shapes of the messages ---------------------------------------------------
 LINE = (
@@ -36,44 +36,40 @@ MESSAGE = (
 )
 MESSAGE_GROUPS = 15
 
-FIELDS = (
-    "user STRING, invalid_user BOOLEAN, ip STRING, port INT, method STRING, invoker STRING, target_user STRING, "
-    "command STRING, name STRING, uid BIGINT, action STRING"
+# Groups of both patterns, by position. Exactly one class of a message has its groups filled, the others are empty.
+# An empty text is made null before it is cast: a cast that fails costs more than all the rest of a line.
+KIND = f"""
+CASE WHEN get(c, 1) != '' THEN '{V.KIND_FAILED}'
+     WHEN get(c, 5) != '' THEN '{V.KIND_ACCEPTED}'
+     WHEN get(c, 8) != '' THEN '{V.KIND_SUDO}'
+     WHEN get(c, 11) != '' THEN '{V.KIND_USERADD}'
+     WHEN get(c, 13) != '' THEN '{V.KIND_CRONTAB}'
+     ELSE '{V.KIND_OTHER}' END"""
+FIELDS = """
+named_struct(
+  'user', nullif(concat(get(c, 1), get(c, 5), get(c, 13)), ''),
+  'invalid_user', CASE WHEN get(c, 1) != '' THEN get(c, 0) != '' END,
+  'ip', nullif(concat(get(c, 2), get(c, 6)), ''),
+  'port', try_cast(nullif(concat(get(c, 3), get(c, 7)), '') AS INT),
+  'method', nullif(get(c, 4), ''),
+  'invoker', nullif(get(c, 8), ''),
+  'target_user', nullif(get(c, 9), ''),
+  'command', CASE WHEN get(c, 8) != '' THEN get(c, 10) END,
+  'name', nullif(get(c, 11), ''),
+  'uid', try_cast(nullif(get(c, 12), '') AS BIGINT),
+  'action', nullif(get(c, 14), ''))"""
+MONTH = f"""
+CASE WHEN p[5] != '' THEN try_cast(p[6] AS INT)
+     WHEN instr('{V.MONTHS}', lower(p[0])) > 0 THEN (instr('{V.MONTHS}', lower(p[0])) + 3) div 4 END"""
+DAY, HOUR, MINUTE, SECOND = (
+    f"try_cast(if(p[5] != '', p[{iso}], p[{bsd}]) AS INT)" for bsd, iso in ((1, 7), (2, 8), (3, 9), (4, 10))
 )
 
 
-def _timestamp(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
+def _timestamp(year: str) -> Column:
     """Null for an impossible date; second 60 and year 0 are impossible here, unlike in SQL."""
-    ts = F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
-    return F.when((second < 60) & (year >= 1), ts)
-
-
-def _resolve_time(p: Column, default_year: int | None, as_of: Column) -> Column:
-    is_iso = p[5] != ""
-
-    def part(bsd: int, iso: int) -> Column:
-        return F.when(is_iso, p[iso]).otherwise(p[bsd]).try_cast("int")
-
-    month_at = F.instr(F.lit(V.MONTHS), F.lower(p[0]))
-    month_name = F.when(month_at > 0, ((month_at + 3) / 4).cast("int"))
-    assumed = F.lit(default_year) if default_year is not None else F.year(as_of)
-    year = F.when(is_iso, p[5].try_cast("int")).otherwise(assumed)
-    month = F.when(is_iso, p[6].try_cast("int")).otherwise(month_name)
-    clock = (part(1, 7), part(2, 8), part(3, 9), part(4, 10))
-    ts = _timestamp(year, month, *clock)
-    if default_year is not None:
-        return ts
-    # No year was given: a time still to come belongs to the year before.
-    return F.when(ts > as_of, _timestamp(F.year(as_of) - 1, month, *clock)).otherwise(ts)
-
-
-def _filled(*items: tuple[str, Column]) -> Column:
-    """A fields struct with the given members set and the others null."""
-    given = dict(items)
-    members = []
-    for name, dtype in (f.split() for f in FIELDS.split(", ")):
-        members.append(given.get(name, F.lit(None)).cast(dtype).alias(name))
-    return F.struct(*members)
+    made = f"try_make_timestamp_ntz({year}, {MONTH}, {DAY}, {HOUR}, {MINUTE}, {SECOND})"
+    return F.expr(f"CASE WHEN {SECOND} < 60 AND {year} >= 1 THEN {made} END")
 
 
 def parse_syslog(
@@ -87,69 +83,51 @@ def parse_syslog(
     Every column of ``lines`` but the text is carried along (``source_file`` and ``seq`` by convention).
     ``as_of`` fixes "now" for lines without a year, so that a rerun gives the same years.
     """
-    now = ntz_literal(as_of) if as_of is not None else F.localtimestamp()
     keep = [c for c in lines.columns if c != value]
-    raw = F.regexp_replace(F.col(value), r"(?<!\n)\n++\z", "")
-
+    raw = F.rtrim(F.col(value), F.lit("\n"))
     shaped = lines.select(*keep, raw.alias("raw")).select(
-        *keep, "raw", F.when(~F.contains("raw", F.lit("\n")), capture(F.col("raw"), LINE, LINE_GROUPS)).alias("_p")
+        *keep, "raw", F.when(~F.contains("raw", F.lit("\n")), capture(F.col("raw"), LINE, LINE_GROUPS)).alias("p")
     )
+    now = f"TIMESTAMP_NTZ '{as_of.isoformat(sep=' ')}'" if as_of is not None else "localtimestamp()"
+    year = default_year if default_year is not None else f"year({now})"
+    ts = _timestamp(f"if(p[5] != '', try_cast(p[5] AS INT), {year})")
+    if default_year is None:
+        # A time still to come belongs to the year before.
+        ts = F.when(ts > F.expr(now), _timestamp(f"year({now}) - 1")).otherwise(ts)
     matched = shaped.select(
         *keep,
         "raw",
         F.explode(
             F.when(
-                F.size("_p") == LINE_GROUPS,
+                F.size("p") == LINE_GROUPS,
                 F.array(
-                    F.struct(
-                        F.col("_p").alias("p"), capture(F.col("_p")[14], MESSAGE, MESSAGE_GROUPS).alias("c")
-                    )
+                    F.struct("p", capture(F.col("p")[14], MESSAGE, MESSAGE_GROUPS).alias("c"), ts.alias("ts"))
                 ),
             )
-        ).alias("_m"),
-    )
-    p, c = F.col("_m.p"), F.col("_m.c")
-    classified = F.size(c) == MESSAGE_GROUPS
-
-    def is_class(group: int) -> Column:
-        return classified & (c[group] != "")
-
-    kind = (
-        F.when(is_class(1), V.KIND_FAILED)
-        .when(is_class(5), V.KIND_ACCEPTED)
-        .when(is_class(8), V.KIND_SUDO)
-        .when(is_class(11), V.KIND_USERADD)
-        .when(is_class(13), V.KIND_CRONTAB)
-        .otherwise(V.KIND_OTHER)
-    )
-    fields = (
-        F.when(
-            is_class(1),
-            _filled(
-                ("user", c[1]), ("invalid_user", c[0] != ""), ("ip", c[2]), ("port", c[3].try_cast("int"))
-            ),
-        )
-        .when(
-            is_class(5),
-            _filled(("user", c[5]), ("method", c[4]), ("ip", c[6]), ("port", c[7].try_cast("int"))),
-        )
-        .when(is_class(8), _filled(("invoker", c[8]), ("target_user", c[9]), ("command", strip(c[10]))))
-        .when(is_class(11), _filled(("name", strip(c[11])), ("uid", c[12].try_cast("bigint"))))
-        .when(is_class(13), _filled(("user", c[13]), ("action", c[14])))
-        .otherwise(_filled())
+        ).alias("m"),
     )
-    events = matched.select(
+    parts = matched.select(*keep, "raw", "m.p", "m.c", "m.ts").where("ts IS NOT NULL")
+    # Pinned, the fields are an operator of their own. One projection with everything would make a method so long that
+    # the JVM leaves it interpreted.
+    typed = pin(parts.withColumn("kind", F.expr(KIND)), "fields", F.expr(FIELDS))
+    return typed.select(
         *keep,
-        _resolve_time(p, default_year, now).alias("ts"),
-        p[11].alias("host"),
-        p[12].alias("process"),
-        p[13].try_cast("int").alias("pid"),
-        p[14].alias("message"),
+        "ts",
+        F.expr("p[11] AS host"),
+        F.expr("p[12] AS process"),
+        F.expr("try_cast(nullif(p[13], '') AS INT) AS pid"),
+        F.expr("p[14] AS message"),
         "raw",
-        kind.alias("kind"),
-        fields.alias("fields"),
+        "kind",
+        _trimmed("command", "name").alias("fields"),
     )
-    return events.where(F.col("ts").isNotNull())
+
+
+def _trimmed(*names: str) -> Column:
+    fields = F.col("fields")
+    for name in names:
+        fields = fields.withField(name, strip(F.col(f"fields.{name}")))
+    return fields
 
 
 def security_events(events: DataFrame) -> DataFrame:

@@ -65,6 +65,16 @@ def test_match_semantics(snapshot, pattern, fields, row, expected):
     assert [(f.matched_field, f.matched_text) for f in found] == ([expected] if expected else [])
 
 
+@pytest.mark.parametrize("pattern, name, hit", [(r"(a)b\1", "xaba", True), (r"(a)b\1", "xabc", False), (r"(?-i)Q", "q", False), (r"^b$|c", "bc", True)])
+def test_group_references_and_inline_flags_stay_within_a_rule(snapshot, pattern, name, hit):
+    rules = [rule("(zzz)", "name", id="other"), rule(pattern, "name")]
+    assert [f.rule_id for f in match.evaluate(snapshot((name, "", "")), rules).collect()] == (["r"] if hit else [])
+
+
+def test_no_rules(snapshot):
+    assert match.evaluate(snapshot(*ROWS), []).count() == 0
+
+
 def test_counts_filter_and_order(snapshot):
     rules = [rule("bash", "name", id="a"), rule("m", "name", id="b", severity="critical")]
     scanned = match.with_rule_hits(baseline.normalized(snapshot(*ROWS)), rules)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import strip
-from ..operators import alerts as alert_ops
 from ..operators import enrich as enrich_ops
 from ..operators import indicators as ind
 from ..operators import retrieve

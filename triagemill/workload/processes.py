@@ -32,10 +32,6 @@ def _clean(spark, sf_dir):
     return base_ops.normalized(processes(spark, sf_dir))
 
 
-def _line():
-    return F.array_join("cmdline", " ").alias("cmdline")
-
-
 def process_snapshot(spark, sf_dir):
     return _clean(spark, sf_dir).select(
         "host", F.col("snapshot_ts").cast("string").alias("snapshot_ts"), "seq", F.col("pid").cast("bigint").alias("pid"),

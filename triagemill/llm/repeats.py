@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_bytes
+from .common import partitions, slices, text_bytes
 from .word_hashes import hashes, mixed
 
-PAGE_BYTES = 2 << 20
+PAGE_BYTES = 1 << 19
 #: Units handled at once; a longer document is handled in overlapping parts.
-PART = 1 << 19
+PART = 1 << 17
 PLACE = np.uint64((1 << 24) - 1)
 LAST = np.iinfo(np.int64).max
 PAGES = "page long, doc_ids array<long>, sizes binary, payload binary"
@@ -179,14 +179,15 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["page", "doc_ids", "sizes", "payload"],
         )
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
-            if texts and size + len(text) > PAGE_BYTES:
-                yield flush()
-                number, ids, texts, size = number + 1, [], [], 0
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text)
+    for whole in batches:
+        for batch in slices(whole, "text", PAGE_BYTES):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
+                if texts and size + len(text) > PAGE_BYTES:
+                    yield flush()
+                    number, ids, texts, size = number + 1, [], [], 0
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
     if texts:
         yield flush()
 
@@ -392,7 +393,7 @@ def _sent(page: Page, method: Method, parts: list[dict]) -> Iterator[pa.RecordBa
 
 
 #: Windows compared at once in a bucket; its pieces are taken in groups by anchor, which no window crosses.
-WINDOWS = 400_000
+WINDOWS = 100_000
 
 
 def _compare(method: Method):

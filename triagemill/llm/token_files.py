@@ -73,8 +73,8 @@ class Words:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        """Ids of each word with a blank in front. Words without a line end are encoded together, a line end between."""
-        lone = [w for w in words if "\n" in w or "<|" in w]
+        """Ids of each word with a blank in front. Words without white space are encoded together, a line end between."""
+        lone = [w for w in words if "<|" in w or _BLANK.search(w)]
         for word, ids in zip(lone, self._ids([" " + w for w in lone])):
             self.memo[word] = np.array(ids, np.uint32).tobytes()
         plain = list(words.difference(lone))
@@ -89,12 +89,14 @@ class Words:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as uint32."""
         self._load()
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
         split = [t.split(" ") for t in texts]
         tails = [self._tail(words) for words in split]
-        new = {w for words in split for w in words[1:] if w not in memo}
+        used = set().union(*(words[1:] for words in split))
+        if len(self.memo) > MEMO:
+            # What these texts use stays, and with it the frequent words.
+            self.memo = {w: self.memo[w] for w in used if w in self.memo}
+        memo = self.memo
+        new = used.difference(memo)
         # A part that is empty or ends in white space belongs together with the blank behind it. None is ever learned.
         odd = {w for w in new if open_ended(w)}
         changed = False
@@ -104,10 +106,10 @@ class Words:
                 tails[i] = self._tail(split[i])
                 changed = True
         if changed:
-            new = {w for words in split for w in words[1:] if w not in memo}
+            new = set().union(*(words[1:] for words in split)).difference(memo)
         self._learn(new)
         heads = self._ids([words[0] for words in split])
-        ends = self._ids(tails)
+        ends = [self._ids([tail])[0] if tail else [] for tail in tails]
         get = memo.__getitem__
         return [
             np.frombuffer(b"".join([_packed(head), *map(get, words[1:]), _packed(end)]), np.uint32)
@@ -120,6 +122,9 @@ class Words:
         return " " + words.pop() if len(words) > 1 and open_ended(words[-1]) else ""
 
 
+_BLANK = re.compile(r"\s")
+
+
 def open_ended(part: str) -> bool:
     return not part or part[-1].isspace()
 

@@ -6,9 +6,11 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from triagemill.plans.staging import release  # noqa: E402
+
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     """A zone with daylight saving, so that any leak of the session zone into NTZ arithmetic shows."""
     session = (
         SparkSession.builder.master("local[8]")
@@ -18,10 +20,12 @@ def spark():
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "America/New_York")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.checkpoint.dir", tmp_path_factory.mktemp("shared").as_uri())
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from triagemill.operators import alerts as A
 from triagemill.operators import enrich as E
 from triagemill.plans import alert_triage
-from triagemill.sources import bundled
+from triagemill.plans.staging import new_path
+from triagemill.sources import bundled, sinks
 
 
 @pytest.fixture
@@ -97,8 +98,15 @@ def test_end_to_end(spark):
     assert "185.220.101.1 (ipv4)" in one.summary and f"Severity: {one.severity.upper()}." in one.summary
     assert "No indicators matched" in two.summary and three.indicators == [] == three.techniques
 
-    report = alert_triage.alert_report(triaged, alerts).where("alert_id = 1").select(F.to_json(F.struct("*"))).first()[0]
-    doc = json.loads(report)
+    triaged = alert_triage.triage_alerts(alerts, context=True)
+    path = new_path(spark, "reports")
+    sinks.write_json(alert_triage.alert_report(triaged, alerts), path)
+    docs = {d["alert_id"]: d for d in (json.loads(r.value) for r in spark.read.text(path).collect())}
+    doc = docs[1]
+    private = next(e for e in doc["enrichment"] if e["value"] == "10.1.2.3")
+    assert private["confidence"] is None and private["source"] is None and private["is_known_malicious"] is False
+    assert [i["context"] for i in doc["indicators"] if i["value"] == "10.1.2.3"] == ["Beacon from 10.1.2.3 to 185.220.101.1 every five minutes; en"]
+    assert docs[3]["indicators"] == [] and docs[3]["llm_backed"] is False
     assert doc["alert_text"] == ALERT and doc["severity"] == one.severity
     assert all(t["relevance"] == round(t["relevance"], 3) for t in doc["matched_techniques"])
 

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 
 from triagemill.operators import baseline, match
-from triagemill.operators.keywords import keyword_sweep
+from triagemill.operators.keywords import keyword_sweep, load_keywords
 from triagemill.operators.match import Rule
 from triagemill.plans import process_hunt
 from triagemill.plans.staging import new_path
@@ -134,12 +134,37 @@ def test_scan_with_baseline(spark, snapshot):
     result = process_hunt.scan_with_baseline(spark, after, path)
     assert [r.name for r in result.new.collect()] == ["Mimikatz.exe"]
     lines = process_hunt.json_report(result, NOON).orderBy(*process_hunt.LINE_KEYS).collect()
-    head, finding, new = (json.loads(r.line) for r in lines)
-    assert head == {"scanned_at": NOON.isoformat(), "process_count": 2, "finding_count": 1, "highest_severity": "critical"}
+    doc = json.loads("\n".join(r.line for r in lines))
+    assert (doc["scanned_at"], doc["process_count"], doc["finding_count"]) == (NOON.isoformat(), 2, 1)
+    assert doc["highest_severity"] == "critical" and doc["host"] == after.first().host
+    (finding,), (new,) = doc["findings"], doc["new_since_baseline"]
     assert finding["rule_id"] == "credential-dumping-mimikatz" and finding["process"]["cmdline"] == ["x"]
     assert new["name"] == "Mimikatz.exe"
 
 
+def test_invalid_patterns_need_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    assert match.invalid_patterns(spark, ["a(", "b", "[z", r"\p{Nosuch}", "(?<n>x)"]) == ["a(", "[z", r"\p{Nosuch}"]
+    assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_rules_run_once_for_all_results(spark, snapshot):
+    """The hits are staged; no pattern is left in the plans of findings, counts and report."""
+    result = process_hunt.scan(snapshot(*ROWS), baseline=baseline.fingerprints(snapshot(ROWS[0])))
+    for df in (result.findings, result.counts, result.new, process_hunt.json_report(result, NOON)):
+        assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_too_many_rules_or_keywords(spark):
+    with pytest.raises(tables.InvalidRules, match="more than 1"):
+        tables.load_rules(raw_rules(spark, GOOD, ("b", *GOOD[1:])), most=1)
+    listed = spark.createDataFrame([(1, "a"), (0, "b"), (2, None)], "ord int, keyword string")
+    assert load_keywords(listed) == ["b", "a"]
+    with pytest.raises(ValueError, match="more than 1"):
+        load_keywords(listed, most=1)
+
+
 def test_keyword_sweep(spark):
     docs = spark.createDataFrame([(1, "C:\\CMD.EXE /c"), (2, "nothing"), (3, None)], "id long, text string")
     found = keyword_sweep(docs, ["nmap", "cmd.exe", ""], "id").orderBy("id", "ord").collect()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from triagemill.operators import detect, enrich, match, retrieve
 from triagemill.plans import auth_triage
+from triagemill.plans.staging import new_path, stage
 from triagemill.sources import bundled
+from triagemill.streaming import watch
 
 START = datetime(2026, 1, 10)
 
@@ -115,6 +117,34 @@ def test_hot_second_of_logins_is_split_across_tasks(spark, no_broadcast):
     assert rows and "skew=true" in plan
 
 
+def test_hot_term_is_split_across_tasks(spark, no_broadcast):
+    """Every query and many passages hold one word; the index is over the broadcast limit."""
+    passages = spark.range(40).select(
+        F.col("id").cast("int").alias("ord"), F.lit("p").alias("name"), F.concat(F.lit("common word"), F.col("id")).alias("text")
+    )
+    n = F.col("id")
+    texts = spark.range(0, 30000, numPartitions=8).select(n.alias("alert_id"), F.concat(F.lit("common word"), n % 5000).alias("text"))
+    rows, plan = final_plan(retrieve.top_techniques(texts, passages, index=stage(retrieve.retrieval_index(passages), "index")))
+    assert len(rows) == 3 * 30000 and "skew=true" in plan
+
+
+def test_hot_fingerprint_in_a_streaming_batch(spark, no_broadcast):
+    """One program on every host: the anti join of a batch is whole without broadcasts, and its skew is split."""
+    n = F.col("id")
+    rows = spark.range(0, 60000, numPartitions=8).select(
+        F.concat(F.lit("h"), n).alias("host"), F.lit(START).cast("timestamp_ntz").alias("snapshot_ts"), n.alias("seq"),
+        n.cast("int").alias("pid"), F.when(n % 3 < 2, "sshd").otherwise(F.concat(F.lit("p"), n)).alias("name"), F.lit("/x").alias("exe"),
+        F.array(F.lit("a")).alias("cmdline"), F.lit("u").alias("username"), F.lit(0.0).alias("create_time"),
+    )
+    source, out = (new_path(spark, x) for x in ("in", "out"))
+    rows.write.parquet(source)
+    known = stage(rows.where("seq % 6 = 5").select(F.concat("name", F.lit(":"), "exe").alias("fingerprint")).distinct(), "known")
+    watch.start(watch.watch_new(watch.snapshot_stream(spark, source), known), out, new_path(spark, "progress")).awaitTermination()
+    assert spark.read.parquet(out).count() == 60000 - 10000
+    batch, plan = final_plan(watch.watch_new(spark.read.parquet(source), known))
+    assert len(batch) == 50000 and "skew=true" in plan
+
+
 def test_shuffle_joins_give_the_same_findings(spark, lines):
     texts = [f"Jan 10 03:22:{10 + i} web sshd[1]: Failed password for root from 203.0.113.5 port 1 ssh2" for i in range(6)]
     texts += ["Jan 10 03:23:15 web sshd[7]: Accepted password for root from 203.0.113.5 port 9 ssh2"]

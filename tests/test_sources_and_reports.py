@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagemill.operators import score
+from triagemill.operators.detect import brute_force_clusters
 from triagemill.operators.parse import parse_syslog
-from triagemill.plans import auth_triage
-from triagemill.plans.staging import FOLDER_SETTING, new_path, shared_folder, stage
+from triagemill.plans import alert_triage, auth_triage
+from triagemill.plans.staging import FOLDER_SETTING, new_path, release, shared_folder, stage
 from triagemill.sources import sinks, tables, text
 
 AT = datetime(2026, 2, 1, 12, 0)
@@ -140,4 +141,50 @@ def test_staging_keeps_rows_and_prunes_folders(spark):
     plan = back.where("kind = '1'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan
     assert new_path(spark, "t").startswith(shared_folder(spark))
-    assert FOLDER_SETTING == "spark.checkpoint.dir"
+
+
+def test_staged_tables_lie_in_the_named_folder_and_can_be_released(spark):
+    named = spark.sparkContext.getConf().get(FOLDER_SETTING)
+    assert FOLDER_SETTING == "spark.checkpoint.dir" and shared_folder(spark) == named.rstrip("/")
+    df = stage(spark.range(10), "gone")
+    (file,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    assert file.startswith(named.replace("file:///", "file:/").rstrip("/")) or file.startswith(named)
+    assert release(spark) > 0 and release(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        spark.read.parquet(file).count()
+
+
+def test_lines_are_parsed_once(triage):
+    """Events are staged without their texts; no line pattern is left in the plans of summary and reports."""
+    for df in (triage.summary, triage.findings, auth_triage.json_report(triage, AT), auth_triage.markdown_report(triage, AT)):
+        assert "[A-Za-z]{3}" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_alerts_are_read_once(spark):
+    alerts = spark.createDataFrame([(1, "mail a@x.com"), (2, None)], "alert_id long, text string")
+    scored = alert_triage.triage_alerts(alerts)
+    assert "regexp_extract_all" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_is_ascii(spark, lines):
+    found = auth_triage.triage_logs(lines("Jan 10 03:28:11 web crontab[9]: (j\u00fcrgen\U0001f642) REPLACE (x)"), default_year=2026)
+    text_ = "\n".join(document(auth_triage.markdown_report(found, AT), "a.log"))
+    assert '`{"user": "j\\u00fcrgen\\ud83d\\ude42"}`' in text_
+
+
+def test_large_thresholds_are_refused(spark, lines):
+    events = parse_syslog(lines(*ATTACK), default_year=2026)
+    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
+        brute_force_clusters(events, threshold=1001)
+
+
+def test_entries_by_line_and_several_files(spark, tmp_path):
+    (tmp_path / "feed.jsonl").write_text('{"pos": 2, "value": "A.com", "category": "domain", "notes": "late"}\n{"pos": 1, "value": "a.com", "category": "domain"}\n')
+    (feed,) = tables.read_feed_lines(spark, str(tmp_path / "feed.jsonl")).collect()
+    assert (feed.value_lc, feed.notes) == ("a.com", "late")
+    for name, ids in (("b", ["T3"]), ("a", ["T1", "T2"])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"techniques": [{"id": i} for i in ids]}))
+    rows = tables.read_techniques(spark, [str(tmp_path / "b.json"), str(tmp_path / "a.json")]).orderBy("ord").collect()
+    assert [(r.ord, r.id) for r in rows] == [(0, "T1"), (1, "T2"), (2, "T3")]
+    (tmp_path / "alerts.jsonl").write_text('{"alert_id": "x", "text": "two\\nlines"}\n')
+    assert text.read_alert_lines(spark, str(tmp_path / "alerts.jsonl")).first() == ("x", "two\nlines")

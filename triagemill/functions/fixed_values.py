@@ -11,7 +11,6 @@ KIND_SUDO = "sudo_command"
 KIND_USERADD = "useradd"
 KIND_CRONTAB = "crontab_replace"
 KIND_OTHER = "other"
-KINDS = (KIND_FAILED, KIND_ACCEPTED, KIND_SUDO, KIND_USERADD, KIND_CRONTAB, KIND_OTHER)
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
@@ -89,7 +88,7 @@ CONTEXT_RADIUS = 40
 DOMAIN_STOP_LIST = ("e.g.com", "i.e.com")
 TOP_LEVEL_DOMAINS = tuple(
     """
-    com net org io gov edu mil info biz co us uk ca de fr ru cn jp au nl br in it se no fi dk pl ch at be nz ie za
+    com net org io gov edu mil info biz co us uk ca de fr ru cn jp au nl br in it es se no fi dk pl ch at be nz ie za
     mx kr sg hk tw xyz top club online site app dev me tv cc ai eu asia name pro mobi tech cloud email live world
     group company network systems solutions services vip icu work link click download stream su int coop travel
     museum aero jobs rocks guru ninja pw shop store blog news wiki

@@ -38,6 +38,22 @@ def joined(lines: Sequence[Column], sep: str = "\n") -> Column:
     return F.concat_ws(sep, *lines)
 
 
+def ascii_json(literal: Column) -> Column:
+    """A JSON literal with every character beyond ASCII as ``\\uXXXX``, those beyond the first plane as two."""
+
+    def unit(number: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(number)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        point = F.ascii(c)
+        rest = point - 0x10000
+        pair = F.concat(unit(0xD800 + F.floor(rest / 1024)), unit(0xDC00 + rest % 1024))
+        return F.when(point < 128, c).when(point < 0x10000, unit(point)).otherwise(pair)
+
+    beyond = literal.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, F.array_join(F.transform(F.split(literal, ""), escaped), "")).otherwise(literal)
+
+
 def json_string(col: Column) -> Column:
     """A JSON string literal, quotes and escapes included."""
     return F.regexp_extract(F.to_json(F.array(col)), r"(?s)^\[(.*)\]$", 1)

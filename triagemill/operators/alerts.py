@@ -21,8 +21,9 @@ def alert_evidence(enriched: DataFrame, matched: DataFrame) -> DataFrame:
     Both inputs go through one union and one aggregate. An array holds what one text gave rise to, no more.
     """
     impact = F.arrays_overlap(_tactics(F.col("tactic")), F.array(*(F.lit(t) for t in V.HIGH_IMPACT_TACTICS)))
+    context = ["context"] if "context" in enriched.columns else []
     indicator = F.struct(
-        "category", "value_lc", "value", "is_known_malicious", "confidence", "source", "notes"
+        "category", "value_lc", "value", "is_known_malicious", "confidence", "source", "notes", *context
     )
     technique = F.struct("rank", "id", "name", "tactic", "technique_text", "score")
     rows = enriched.select(

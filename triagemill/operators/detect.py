@@ -17,6 +17,7 @@ from ..functions.time import epoch_seconds
 
 SCOPE = "source_file"
 TILES_PER_SEGMENT = 1024
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 SECONDS_PER_SEGMENT = 86400
 
 EVIDENCE = (
@@ -81,6 +82,10 @@ def brute_force_clusters(
     """
     if threshold < 1 or window_seconds < 0:
         raise ValueError("threshold must be at least 1 and window_seconds at least 0")
+    most = int(events.sparkSession.conf.get(GROUP_LIMIT_SETTING, "1000"))
+    if threshold > most:
+        # Spark would then send whole tiles, however hot, to one task.
+        raise ValueError(f"threshold is over {most}; raise {GROUP_LIMIT_SETTING} first")
     tile = F.floor(epoch_seconds(F.col("ts")) / max(window_seconds, 1))
     in_tile = Window.partitionBy(SCOPE, "ip", "tile").orderBy("ts", "seq")
     candidates = (

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.pin import pin
 
 
+#: More keywords than this are a table to join with, not configuration.
+MOST_KEYWORDS = 10_000
+
+
+def load_keywords(keywords: DataFrame, most: int = MOST_KEYWORDS) -> list[str]:
+    """The list of a keyword table ``(ord, keyword)`` as configuration: in order, at most ``most``, none null."""
+    rows = keywords.where(F.col("keyword").isNotNull()).orderBy("ord").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} keywords")
+    return [r.keyword for r in rows]
+
+
 def keyword_sweep(docs: DataFrame, keywords: Sequence[str], key: str, text: str = "text") -> DataFrame:
     """``(key, ord, keyword)`` for each keyword the lower-cased text holds, an empty keyword included.
 

@@ -130,7 +130,11 @@ def _trimmed(*names: str) -> Column:
     return fields
 
 
+def without_text(events: DataFrame) -> DataFrame:
+    """Events without their raw text and what only a reader of it needs; unclassified ones keep their time alone."""
+    return events.drop(*(c for c in ("host", "process", "pid", "message", "raw") if c in events.columns))
+
+
 def security_events(events: DataFrame) -> DataFrame:
     """The part of the events that the detectors read: no unclassified rows, no raw text."""
-    drop = [c for c in ("host", "process", "pid", "message", "raw") if c in events.columns]
-    return events.where(F.col("kind") != V.KIND_OTHER).drop(*drop)
+    return without_text(events).where(F.col("kind") != V.KIND_OTHER)

@@ -21,9 +21,10 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*V.STOP_WORDS))
 
 
-def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """``(key, term, n, max_n)``: occurrences of each term and of the most frequent term of the text."""
-    words = pin(docs.select(key, text.alias("_text")), "_t", F.sort_array(tokens(F.coalesce("_text", F.lit("")))))
+def with_terms(docs: DataFrame, text: Column, out: str = "terms") -> DataFrame:
+    """Add the distinct terms of a text with their counts and the largest count, as one struct column."""
+    own = docs.columns
+    words = pin(docs.withColumn("_text", text), "_t", F.sort_array(tokens(F.coalesce("_text", F.lit("")))))
     size = F.size("_t")
     ends = F.filter(
         F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")),
@@ -35,10 +36,19 @@ def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
         start = F.when(i == 0, 0).otherwise(F.get(F.col("_ends"), i - 1))
         return F.struct(F.get(F.col("_t"), end - 1).alias("term"), (end - start).alias("n"))
 
-    counted = F.transform("_ends", run)
-    counts = pin(runs, "_c", counted)
-    most = pin(counts, "max_n", F.array_max("_c.n"))
-    return most.select(key, "max_n", F.explode("_c").alias("c")).select(key, "c.term", "c.n", "max_n")
+    counts = pin(runs, "_c", F.transform("_ends", run))
+    return counts.select(*own, F.struct(F.col("_c").alias("counts"), F.array_max("_c.n").alias("max_n")).alias(out))
+
+
+def exploded_terms(docs: DataFrame, key: str, terms: str = "terms") -> DataFrame:
+    """``(key, term, n, max_n)`` from the column of :func:`with_terms`."""
+    listed = docs.select(key, F.col(f"{terms}.max_n").alias("max_n"), F.explode(f"{terms}.counts").alias("c"))
+    return listed.select(key, "c.term", "c.n", "max_n")
+
+
+def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """``(key, term, n, max_n)``: occurrences of each term and of the most frequent term of the text."""
+    return exploded_terms(with_terms(docs.select(key, text.alias("_own")), F.col("_own")).select(key, "terms"), key)
 
 
 def augmented_tf() -> Column:
@@ -92,20 +102,16 @@ def retrieval_index(corpus: DataFrame) -> DataFrame:
     return corpus_vectors(corpus).select("term", "idf", F.explode(entries).alias("e")).select("term", "idf", "e.*")
 
 
-def cosine_scores(queries: DataFrame, index: DataFrame, key: str = "alert_id", text: str = "text") -> DataFrame:
+def dot_products(counts: DataFrame, index: DataFrame, key: str = "alert_id") -> DataFrame:
     """``(key, ord, dot)``: dot products of each query with the documents that share a term with it.
 
-    The row without ``ord`` holds the squared norm of the query. All rows of a query come from one row of one task,
-    so the sums are complete before the shuffle.
+    ``counts`` are the terms of the queries. The row without ``ord`` holds the squared norm of the query. All rows of a
+    query come from one row of one task, so the sums are complete before the shuffle.
     """
     tf = augmented_tf()
     part = tf * F.col("idf") * F.col("weight") * F.when(F.col("ord").isNull(), tf).otherwise(1.0)
-    return (
-        term_counts(queries, key, F.col(text))
-        .join(index, "term")
-        .groupBy(key, "ord")
-        .agg(F.sum(part).alias("dot"))
-    )
+    met = counts.join(index, "term").select(key, "ord", part.alias("part"))
+    return met.groupBy(key, "ord").agg(F.sum("part").alias("dot"))
 
 
 def top_techniques(
@@ -116,9 +122,14 @@ def top_techniques(
     key: str = "alert_id",
     text: str = "text",
     index: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """The ``top_k`` documents of the corpus per query with a score above ``min_score``; ties keep corpus order."""
-    dots = cosine_scores(queries, index if index is not None else retrieval_index(corpus), key, text)
+    """The ``top_k`` documents of the corpus per query with a score above ``min_score``; ties keep corpus order.
+
+    Dot products that agree in ``SCORE_DIGITS_FOR_TIES`` digits are ties. ``counts`` may give the terms of the queries.
+    """
+    counts = counts if counts is not None else term_counts(queries, key, F.col(text))
+    dots = dot_products(counts, index if index is not None else retrieval_index(corpus), key)
     # The norm row stands first; the group limit keeps it and the best k, and drops the rest before the shuffle.
     best = Window.partitionBy(key).orderBy(
         F.col("ord").isNotNull(), F.round("dot", SCORE_DIGITS_FOR_TIES).desc(), "ord"

@@ -35,7 +35,7 @@ def _finding_counts(findings: DataFrame) -> DataFrame:
         F.count("*").alias("total_findings"),
         *counts,
         F.sum(lookup(severity, V.AUTH_SEVERITY_WEIGHT)).alias("weight"),
-        F.max_by("severity", "severity_rank").alias("highest_severity"),
+        F.max("severity_rank").alias("highest_rank"),
         *per_type,
     )
 
@@ -49,11 +49,12 @@ def scope_summary(scopes: DataFrame, findings: DataFrame) -> DataFrame:
     filled = [
         F.coalesce(F.col(c), F.lit(0)).alias(c)
         for c in counts.columns
-        if c not in (SCOPE, "weight", "highest_severity")
+        if c not in (SCOPE, "weight", "highest_rank")
     ]
     risk = F.least(F.lit(V.RISK_SCORE_CAP), F.coalesce(F.col("weight"), F.lit(0))).cast("int")
+    highest = lookup(F.col("highest_rank"), {rank: name for name, rank in V.AUTH_SEVERITY_RANK.items()})
     return scopes.join(counts, SCOPE, "left").select(
-        *scopes.columns, *filled, risk.alias("risk_score"), "highest_severity"
+        *scopes.columns, *filled, risk.alias("risk_score"), highest.alias("highest_severity")
     )
 
 

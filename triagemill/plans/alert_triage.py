@@ -8,28 +8,37 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..operators.alerts import KEY, alert_evidence, prompt, score_alerts, triage_summary
 from ..operators.enrich import enrich
-from ..operators.indicators import extract_indicators
-from ..operators.retrieve import matched_techniques, retrieval_index, top_techniques
+from ..operators.indicators import with_indicators
+from ..operators.retrieve import exploded_terms, matched_techniques, retrieval_index, top_techniques, with_terms
 from ..sources import bundled
 from .staging import stage
 
 
+def read_texts(alerts: DataFrame, context: bool = False) -> DataFrame:
+    """``(alert_id, indicators, terms)`` of every alert, staged: all that is read from a text, read once.
+
+    Retrieval reads the text as it came, indicators are searched in the refanged one.
+    """
+    found = with_terms(with_indicators(alerts.select(KEY, "text"), context=context), F.col("text"))
+    return stage(found.select(KEY, "indicators", "terms"), "texts")
+
+
 def gather_evidence(
-    alerts: DataFrame, corpus: DataFrame | None = None, feed: DataFrame | None = None, top_k: int = V.TOP_K
+    texts: DataFrame, corpus: DataFrame | None = None, feed: DataFrame | None = None, top_k: int = V.TOP_K
 ) -> DataFrame:
     """Per alert: indicators with enrichment, techniques and severity flags. Feed and corpus default to the bundled.
 
-    ``feed`` has unique keys, as the feed readers give it. The index of the corpus is staged: it is built once, and
-    its real size decides whether the join with the queries is a broadcast.
+    ``texts`` comes from :func:`read_texts`; ``feed`` has unique keys, as the feed readers give it. The index of the
+    corpus is staged: it is built once, and its real size decides whether the join with the queries is a broadcast.
     """
-    spark = alerts.sparkSession
+    spark = texts.sparkSession
     corpus = corpus if corpus is not None else bundled.techniques(spark)
     if feed is None:
         feed = bundled.demo_feed(spark).select("category", F.lower("value").alias("value_lc"), "confidence", "source", "notes")
     index = stage(retrieval_index(corpus), "index")
-    enriched = enrich(extract_indicators(alerts, context=False), feed)
-    # Retrieval reads the text as it came, not refanged.
-    ranked = top_techniques(alerts, corpus, top_k, index=index)
+    found = texts.select(KEY, F.explode("indicators").alias("i"))
+    enriched = enrich(found.select(KEY, "i.category", "i.value", "i.value_lc", "i.context"), feed)
+    ranked = top_techniques(texts, corpus, top_k, index=index, counts=exploded_terms(texts, KEY))
     return alert_evidence(enriched, matched_techniques(ranked, corpus))
 
 
@@ -39,10 +48,14 @@ def triage_alerts(
     feed: DataFrame | None = None,
     top_k: int = V.TOP_K,
     summary: Column | None = None,
+    context: bool = False,
 ) -> DataFrame:
-    """One row per alert: indicators, techniques, severity, summary. The texts themselves are not shuffled."""
-    evidence = gather_evidence(alerts, corpus, feed, top_k)
-    scored = score_alerts(alerts.select(KEY), evidence)
+    """One row per alert: indicators, techniques, severity, summary. Texts are read once and never shuffled.
+
+    With ``context`` the indicators carry what stands around them, as reports want it.
+    """
+    texts = read_texts(alerts, context)
+    scored = score_alerts(texts.select(KEY), gather_evidence(texts, corpus, feed, top_k))
     return scored.withColumn("summary", summary if summary is not None else triage_summary())
 
 
@@ -50,13 +63,18 @@ def prompt_table(
     alerts: DataFrame, corpus: DataFrame | None = None, feed: DataFrame | None = None, top_k: int = V.TOP_K
 ) -> DataFrame:
     """``(alert_id, prompt)``: the one place where the text travels with its evidence."""
-    evidence = gather_evidence(alerts, corpus, feed, top_k)
+    evidence = gather_evidence(read_texts(alerts), corpus, feed, top_k)
     return score_alerts(alerts.select(KEY, "text"), evidence).select(KEY, prompt().alias("prompt"))
 
 
 def alert_report(triaged: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One JSON-ready row per alert, scores rounded to three places."""
-    indicators = F.transform("indicators", lambda i: F.struct(i["value"].alias("value"), i["category"].alias("category")))
+    """One JSON-ready row per alert, scores rounded to three places; ``triaged`` carries contexts.
+
+    Serialize it with ``ignoreNullFields=false``, as ``write_json`` does, so that every report has all its keys.
+    """
+    indicators = F.transform(
+        "indicators", lambda i: F.struct(*(i[c].alias(c) for c in ("value", "category", "context")))
+    )
     enrichment = F.transform(
         "indicators",
         lambda i: F.struct(

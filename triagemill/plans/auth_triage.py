@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import json_string, joined
+from ..functions.text import ascii_json, json_string, joined
 from ..functions.time import iso
 from ..operators import score
 from ..operators.detect import ORDER_KEYS, SCOPE, all_findings
-from ..operators.parse import parse_syslog, security_events
+from ..operators.parse import parse_syslog, security_events, without_text
 from .staging import stage
 
 Summarizer = Callable[[DataFrame], DataFrame]
@@ -37,23 +37,25 @@ def triage_events(
 ) -> AuthTriage:
     """Run every detector over parsed events.
 
-    By default the events the detectors need are staged by kind: lines are parsed once, the detectors read only the
-    kinds they look at, and the findings are staged in turn for summary and reports.
+    By default all events are staged by kind without their texts: lines are parsed once, the detectors read only the
+    kinds they look at, time ranges come from two columns, and findings and summary are staged in turn for reports.
     """
-    relevant = security_events(events)
-    ranges = score.event_ranges(events)
+    narrow = without_text(events)
     if staged:
-        relevant = stage(relevant, "events", ["kind"])
-    findings = all_findings(relevant, window_seconds, threshold)
+        narrow = stage(narrow, "events", ["kind"])
+    findings = all_findings(security_events(narrow), window_seconds, threshold)
     if staged:
         findings = stage(findings, "findings")
-    return AuthTriage(findings, summarizer(score.scope_summary(ranges, findings)))
+    summary = summarizer(score.scope_summary(score.event_ranges(narrow), findings))
+    return AuthTriage(findings, stage(summary, "summary") if staged else summary)
 
 
 def triage_logs(
     lines: DataFrame, default_year: int | None = None, as_of: datetime | None = None, **options
 ) -> AuthTriage:
-    """Lines ``(source_file, seq, value)`` to findings and summary."""
+    """Lines ``(source_file, seq, value)`` to findings and summary. "Now" is fixed once for all parts of the run."""
+    if default_year is None and as_of is None:
+        as_of = datetime.now()
     return triage_events(parse_syslog(lines, default_year, as_of), **options)
 
 
@@ -64,13 +66,13 @@ def evidence_text(evidence: Column, type_: Column) -> Column:
         return F.concat(F.lit(f'"{name}": '), value)
 
     def text(name: str) -> Column:
-        return member(name, json_string(evidence[name]))
+        return member(name, ascii_json(json_string(evidence[name])))
 
     def number(name: str) -> Column:
         return member(name, evidence[name].cast("string"))
 
     users = F.concat(
-        F.lit("["), F.array_join(F.transform(evidence["users_targeted"], json_string), ", "), F.lit("]")
+        F.lit("["), F.array_join(F.transform(evidence["users_targeted"], lambda u: ascii_json(json_string(u))), ", "), F.lit("]")
     )
     bodies = {
         "brute_force": (

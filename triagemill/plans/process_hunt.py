@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..operators.baseline import fingerprint, new_processes, normalized
 from ..operators.match import Rule, at_least, findings_of, process_counts, with_rule_hits
 from ..sources.bundled import DEFAULT_RULES
 from ..sources.tables import read_baseline, write_baseline
+from .staging import stage
 
 SCOPE = ("host", "snapshot_ts")
 
@@ -32,10 +34,14 @@ def scan(
     baseline: DataFrame | None = None,
     min_severity: str = "low",
     baseline_scope: Sequence[str] = (),
+    staged: bool = True,
 ) -> ProcessScan:
-    """One pass over snapshots; rule matching is a narrow stage and counts come from the same rows."""
+    """One pass over snapshots: processes with their hits are staged, and all results come from that table."""
     clean = normalized(processes)
     scanned = with_rule_hits(clean, rules)
+    if staged:
+        scanned = stage(scanned, "scanned")
+        clean = scanned.drop("hits")
     if baseline is not None:
         new = new_processes(clean, baseline, baseline_scope)
     else:
@@ -73,39 +79,69 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+_PROCESS = "STRUCT<pid: BIGINT, name: STRING, exe: STRING, cmdline: ARRAY<STRING>, username: STRING>"
+#: What a report reads back as.
+DOCUMENT = (
+    "host STRING, snapshot_ts STRING, scanned_at STRING, process_count BIGINT, finding_count BIGINT, "
+    "highest_severity STRING, findings ARRAY<STRUCT<rule_id: STRING, severity: STRING, mitre_tactic: STRING, "
+    "mitre_technique: STRING, description: STRING, matched_field: STRING, matched_text: STRING, "
+    f"process: {_PROCESS}>>, new_since_baseline ARRAY<{_PROCESS}>"
+)
 LINE_KEYS = ("host", "snapshot_ts", "section", "place", "seq", "rule_ord")
 
 
 def json_report(result: ProcessScan, scanned_at: datetime) -> DataFrame:
-    """Report lines ``(host, snapshot_ts, section, place, seq, rule_ord, line)``.
+    """Report fragments ``(host, snapshot_ts, section, place, seq, rule_ord, line)``.
 
-    Section 0 is the head of a snapshot, 1 its findings from the most severe down, 2 its new processes. Each line is
-    a JSON object; a host with millions of findings is millions of lines, sorted in parallel.
+    In key order the lines of a snapshot are one JSON document: its head (section 0), its findings from the most severe
+    down (1), a middle part (2), its new processes (3) and the end (4). A host with millions of findings is millions of
+    lines, sorted in parallel. Each finding or process but the first of a snapshot opens with a comma; the first is
+    known from one aggregate over fixed-width keys.
     """
     process = F.struct("pid", "name", "exe", "cmdline", "username")
-    head = F.struct(
-        F.lit(scanned_at.isoformat()).alias("scanned_at"), "process_count", "finding_count", "highest_severity"
-    )
     finding = F.struct(
         "rule_id", "severity", "mitre_tactic", "mitre_technique", "description", "matched_field", "matched_text",
         process.alias("process"),
     )
     nothing, every = F.lit(None), {"ignoreNullFields": "false"}
-
-    def block(rows: DataFrame, section: int, place, seq, rule_ord, body) -> DataFrame:
+    counts = result.counts
+    head = F.to_json(
+        F.struct(
+            "host",
+            F.date_format("snapshot_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("snapshot_ts"),
+            F.lit(scanned_at.isoformat()).alias("scanned_at"),
+            "process_count", "finding_count", "highest_severity",
+        ),
+        every,
+    )
+
+    def block(rows: DataFrame, section: int, line, place=nothing, seq=nothing, rule_ord=nothing) -> DataFrame:
         return rows.select(
             *SCOPE,
             F.lit(section).alias("section"),
             place.cast("int").alias("place"),
             seq.cast("bigint").alias("seq"),
             rule_ord.cast("int").alias("rule_ord"),
-            F.to_json(body, every).alias("line"),
+            line.alias("line"),
         )
 
+    def separated(rows: DataFrame, order, body) -> tuple[DataFrame, Column]:
+        own = rows.withColumn("_order", order.cast("decimal(38,0)"))
+        first = own.groupBy(*SCOPE).agg(F.min("_order").alias("_first"))
+        comma = F.when(F.col("_order") == F.col("_first"), "").otherwise(",")
+        return own.join(first, [*SCOPE]), F.concat(comma, F.to_json(body, every))
+
+    # Digits of place, row and rule one after the other; ``seq`` counts from zero.
+    places = len(V.RULE_SEVERITY_RANK) - F.col("severity_rank")
+    digits = (F.lpad(F.col(c).cast("string"), n, "0") for c, n in (("seq", 19), ("rule_ord", 6)))
+    by_place = F.concat(places.cast("string"), *digits)
+    findings, finding_line = separated(result.findings, by_place, finding)
+    new, new_line = separated(result.new, F.col("seq"), process)
+    head_line = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"findings":['))
     return (
-        block(result.counts, 0, nothing, nothing, nothing, head)
-        .unionByName(
-            block(result.findings, 1, -F.col("severity_rank"), F.col("seq"), F.col("rule_ord"), finding)
-        )
-        .unionByName(block(result.new, 2, nothing, F.col("seq"), nothing, process))
+        block(counts, 0, head_line)
+        .unionByName(block(findings, 1, finding_line, -F.col("severity_rank"), F.col("seq"), F.col("rule_ord")))
+        .unionByName(block(counts, 2, F.lit('],"new_since_baseline":[')))
+        .unionByName(block(new, 3, new_line, seq=F.col("seq")))
+        .unionByName(block(counts, 4, F.lit("]}")))
     )

@@ -30,12 +30,23 @@ def read_alerts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return alerts.select(F.col("_metadata.file_path").alias("alert_id"), F.col("value").alias("text"))
 
 
-def read_keywords(spark: SparkSession, path: str) -> DataFrame:
-    """``(ord, keyword)``: one keyword per line, trimmed and lower-cased."""
-    lines = spark.read.text(path, wholetext=True)
-    words = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
-    listed = lines.select(F.posexplode(words).alias("ord", "word"))
-    return listed.select("ord", keyword(F.col("word")).alias("keyword"))
+def read_alert_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(alert_id, text)`` of alerts kept as JSON objects, one per line: millions of them in files of any size."""
+    return spark.read.schema("alert_id STRING, text STRING").json(path)
+
+
+def read_keywords(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(ord, keyword)``: one keyword per line, trimmed and lower-cased.
+
+    Files are split, so ``ord`` is a struct that orders keywords by file, start of the split, and order of reading.
+    """
+    lines = spark.read.text(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return lines.select(place.alias("ord"), keyword(F.col("value")).alias("keyword"))
 
 
 def keyword(col: Column) -> Column:

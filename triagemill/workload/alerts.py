@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import strip
 from ..operators import enrich as enrich_ops
 from ..operators import indicators as ind
 from ..operators import retrieve
-from ..operators.keywords import keyword_sweep
+from ..operators.keywords import keyword_sweep, load_keywords
 from ..plans import alert_triage
-from ..plans.staging import stage
-from ..sources import bundled
+from ..plans.staging import new_path, stage
+from ..sources import bundled, sinks
+from ..sources import tables as readers
+from ..sources import text as text_sources
 from .tables import ALERTS_SQL, CORPUS_SQL, FEED_SQL, alerts, corpus, feed_entries, table
 
 
 def alert_scan(spark, sf_dir):
-    return alerts(spark, sf_dir).select("alert_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+    """Every alert as a text table, a row per alert, read back with its key."""
+    path = new_path(spark, "alerts")
+    alerts(spark, sf_dir).write.json(path)
+    read = text_sources.read_alert_lines(spark, path)
+    return read.select(
+        F.col("alert_id").cast("bigint").alias("alert_id"), F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest")
+    )
 
 
 def refang(spark, sf_dir):
@@ -53,7 +60,10 @@ def _feed(spark, sf_dir):
 
 
 def intel_feed_last_wins(spark, sf_dir):
-    return _feed(spark, sf_dir)
+    """The feed as a file with an entry per line, read back."""
+    path = new_path(spark, "feed")
+    feed_entries(spark, sf_dir).write.json(path)
+    return readers.read_feed_lines(spark, path)
 
 
 def _enriched(spark, sf_dir):
@@ -95,7 +105,10 @@ def term_counts(spark, sf_dir):
 
 
 def technique_corpus(spark, sf_dir):
-    return corpus(spark, sf_dir).select(F.col("ord").cast("bigint").alias("ord"), "id", "name", "tactic", "text")
+    """The corpus as a file with a technique per line, read back."""
+    path = new_path(spark, "techniques")
+    corpus(spark, sf_dir).write.json(path)
+    return readers.read_technique_lines(spark, path).select(F.col("ord").cast("bigint").alias("ord"), "id", "name", "tactic", "text")
 
 
 def doc_frequency(spark, sf_dir):
@@ -138,11 +151,11 @@ def _top(spark, sf_dir, **options):
 
 
 def cosine_scores(spark, sf_dir):
-    """All scores of conversation turns against the corpus."""
+    """The ten best scores of each conversation turn against the corpus."""
     docs = corpus(spark, sf_dir)
     index = stage(retrieve.retrieval_index(docs), "index")
-    scores = retrieve.cosine_scores(_turns(spark, sf_dir), index)
-    return scores.select("alert_id", F.col("ord").cast("bigint").alias("ord"), F.round("dot", 6).alias("dot"))
+    best = retrieve.top_techniques(_turns(spark, sf_dir), docs, top_k=10, index=index)
+    return best.select("alert_id", F.col("ord").cast("bigint").alias("ord"), F.round("score", 6).alias("score"))
 
 
 def tfidf_topk(spark, sf_dir):
@@ -199,24 +212,32 @@ def prompt_table(spark, sf_dir):
 
 
 def alert_report_json(spark, sf_dir):
-    """The JSON report of each alert; checked by rows."""
+    """The JSON report of each alert, written and read back as text."""
     texts = alerts(spark, sf_dir)
-    triaged = alert_triage.triage_alerts(texts, corpus(spark, sf_dir), _feed(spark, sf_dir))
-    report = alert_triage.alert_report(triaged, texts)
-    return report.select("alert_id", F.to_json(F.struct(*(c for c in report.columns if c != "alert_id"))).alias("report"))
+    triaged = alert_triage.triage_alerts(texts, corpus(spark, sf_dir), _feed(spark, sf_dir), context=True)
+    path = new_path(spark, "reports")
+    sinks.write_json(alert_triage.alert_report(triaged, texts), path)
+    report = F.regexp_extract("value", r'^\{"alert_id":(\d+),(.*)$', 2)
+    key = F.regexp_extract("value", r'^\{"alert_id":(\d+),', 1).cast("bigint")
+    return spark.read.text(path).select(key.alias("alert_id"), F.concat(F.lit("{"), report).alias("report"))
 
 
-_SWEEP = (*bundled.KEYWORDS, "tion", "example.com", "the ", "")
+_SWEEP = (*bundled.KEYWORDS, "tion", "example.com", "the", "")
 
 
 def keyword_list(spark, sf_dir):
-    """Keywords as they are compared: the first words of documents, trimmed and lower-cased."""
-    word = F.concat(F.lit(" \t"), F.split(F.col("text"), " ")[0], F.lit(" "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(strip(word)).alias("keyword"))
+    """Every line of every document as an entry of a keyword list, written and read back."""
+    path = new_path(spark, "keywords")
+    table(spark, sf_dir, "documents").select(F.concat(F.lit(" \t"), "text", F.lit(" "))).write.text(path)
+    return text_sources.read_keywords(spark, path).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
 def keyword_hits(spark, sf_dir):
-    return keyword_sweep(alerts(spark, sf_dir), _SWEEP, "alert_id").select(
+    """The sweep with a list that is kept in a file."""
+    path = new_path(spark, "sweep")
+    spark.createDataFrame([(k,) for k in _SWEEP], "value string").coalesce(1).write.text(path)
+    listed = load_keywords(text_sources.read_keywords(spark, path))
+    return keyword_sweep(alerts(spark, sf_dir), listed, "alert_id").select(
         "alert_id", F.col("ord").cast("bigint").alias("ord"), "keyword"
     )
 
@@ -260,6 +281,7 @@ refanged AS (
     'hxxp://', 'http://'), '[.]', '.'), '(.)', '.'), '[:]', ':'), '[at]', '@'), '[@]', '@') AS text
   FROM alerts)"""
 
+# The pattern of each category.
 _PATTERNS = {
     "url": """(?i)\\bhttps?://[^\\s"''<>)]+""",
     "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b",
@@ -369,11 +391,12 @@ vectors AS (SELECT ord, term, idf, w / sqrt(sum(w * w) OVER (PARTITION BY ord))
 def _query_sql(source: str) -> str:
     return f"""{INDEX_SQL},{_tf_sql('query', source, 'alert_id', 'text')},
 query_w AS (SELECT alert_id, term, tf * idf AS w FROM query_tf JOIN idf USING (term)),
-query_vectors AS (SELECT alert_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY alert_id)) AS weight FROM query_w),
+query_vectors AS (SELECT alert_id, term, w, w / sqrt(sum(w * w) OVER (PARTITION BY alert_id)) AS weight FROM query_w),
 scores AS (
-  SELECT alert_id, ord, sum(q.weight * v.weight) AS score FROM query_vectors q JOIN vectors v USING (term) GROUP BY 1, 2),
+  SELECT alert_id, ord, sum(q.weight * v.weight) AS score, sum(q.w * v.weight) AS dot
+  FROM query_vectors q JOIN vectors v USING (term) GROUP BY 1, 2),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY round(score, 9) DESC, ord) AS rank
+  SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY round(dot, 9) DESC, ord) AS rank
   FROM scores WHERE score > 0)"""
 
 
@@ -429,6 +452,27 @@ SELECT alert_id, CAST(length(prompt) AS BIGINT) AS n_chars, md5(prompt) AS diges
   FROM triaged)"""
 
 
+_REPORT_JSON = f"""{TRIAGE_SQL},
+summarized AS ({_SUMMARY}),
+in_json AS (
+  SELECT alert_id,
+    string_agg('{{"value":' || to_json(value) || ',"category":"' || category || '","context":' || to_json(context) || '}}', ','
+      ORDER BY category, value_lc) AS indicators,
+    string_agg('{{"value":' || to_json(value) || ',"category":"' || category || '","is_known_malicious":' || is_known_malicious
+      || ',"confidence":' || coalesce(to_json(confidence), 'null') || ',"source":' || coalesce(to_json(source), 'null')
+      || ',"notes":' || to_json(notes) || '}}', ',' ORDER BY category, value_lc) AS enrichment
+  FROM enriched GROUP BY 1),
+retrieved_json AS (
+  SELECT alert_id, string_agg('{{"id":"' || id || '","name":"' || name || '","tactic":"' || tactic || '","text":'
+    || to_json(technique_text) || ',"relevance":' || round(score, 3) || '}}', ',' ORDER BY rank) AS matched
+  FROM techniques GROUP BY 1)
+SELECT t.alert_id, '{{"alert_text":' || to_json(t.text) || ',"indicators":[' || coalesce(j.indicators, '')
+  || '],"enrichment":[' || coalesce(j.enrichment, '') || '],"matched_techniques":[' || coalesce(r.matched, '')
+  || '],"severity":"' || severity || '","summary":' || to_json(s.summary) || ',"llm_backed":false}}' AS report
+FROM triaged t LEFT JOIN in_json j ON j.alert_id = t.alert_id LEFT JOIN retrieved_json r ON r.alert_id = t.alert_id
+JOIN summarized s ON s.alert_id = t.alert_id"""
+
+
 def _sweep_sql() -> str:
     values = ", ".join(f"({i}, '{k}')" for i, k in enumerate(_SWEEP))
     return f"""WITH {ALERTS_SQL}, keywords(ord, keyword) AS (VALUES {values})
@@ -498,9 +542,7 @@ FROM (SELECT alert_id, coalesce(array_to_string({_tokens_sql('text')}, ' '), '')
     ),
     "cosine_scores": _with(
         TURNS_SQL + "," + _query_sql("turns"),
-        """SELECT alert_id, CAST(ord AS BIGINT) AS ord, round(sum(q.w * v.weight), 6) AS dot
-FROM query_w q JOIN vectors v USING (term) GROUP BY 1, 2
-UNION ALL SELECT alert_id, NULL, round(sum(w * w), 6) FROM query_w GROUP BY 1""",
+        "SELECT alert_id, CAST(ord AS BIGINT) AS ord, round(score, 6) AS score FROM ranked WHERE rank <= 10",
     ),
     "tfidf_topk": _with(
         ALERTS_SQL + "," + _query_sql("alerts"),
@@ -526,7 +568,8 @@ WHERE rank <= 3""",
         BUNDLED_TRIAGE_SQL, "SELECT alert_id, severity, coalesce(ids, '') AS techniques FROM triaged"
     ),
     "prompt_table": _with(TRIAGE_SQL, _PROMPT),
-    "keyword_list": r"""SELECT doc_id, regexp_replace(lower(split_part(text, ' ', 1)), '^\s+|\s+$', '', 'g') AS keyword
-FROM documents""",
+    "alert_report_json": f"WITH {_REPORT_JSON}",
+    "keyword_list": r"""SELECT regexp_replace(lower(line), '^\s+|\s+$', '', 'g') AS keyword, count(*) AS n
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1""",
     "keyword_sweep": _sweep_sql(),
 }

@@ -190,6 +190,7 @@ QUERIES = {
     "incident_report_json": incident_report_json,
 }
 
+# The patterns of a log line and of the messages that matter.
 _LINE = (
     r"^([A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})\s+(\S+)\s+"
     r"([\w./-]+?)(?:\[(\d+)\])?:\s+(.*)$"
@@ -341,7 +342,7 @@ SELECT source_file, CAST(0 AS BIGINT) AS section, CAST(NULL AS BIGINT) AS seq, c
 FROM told
 UNION ALL SELECT source_file, 1, seq, concat_ws(chr(10), '### [' || severity || '] ' || title, '', description, '',
     '- First seen: ' || {_ISO.format('first_seen')}, '- Last seen: ' || {_ISO.format('last_seen')},
-    '- Evidence: `' || replace(replace(evidence, '":', '": '), ',"', ', "') || '`', '')
+    '- Evidence: `' || replace(replace(replace(evidence, '":', '": '), ',"', ', "'), 'ü', '\\u00fc') || '`', '')
 FROM findings
 UNION ALL SELECT source_file, 2, NULL, concat_ws(chr(10), '## Analyst Narrative', '', narrative, '') FROM told"""
 

@@ -12,6 +12,7 @@ from ..operators.match import Rule
 from ..plans import process_hunt
 from ..plans.staging import new_path
 from ..sources import tables as readers
+from ..sources.sinks import in_order
 from ..sources.bundled import DEFAULT_RULES
 from ..streaming import watch
 from .tables import PROCESSES_SQL, processes, table
@@ -52,12 +53,15 @@ def _baseline_rows(spark, sf_dir):
 
 
 def baseline_write(spark, sf_dir):
-    return base_ops.fingerprints(_baseline_rows(spark, sf_dir))
+    """The baseline of all processes, written, and its files read as they are."""
+    path = new_path(spark, "baseline")
+    readers.write_baseline(_clean(spark, sf_dir), path)
+    return spark.read.parquet(path)
 
 
 def baseline_read(spark, sf_dir):
     path = new_path(spark, "baseline")
-    readers.write_baseline(_baseline_rows(spark, sf_dir), path, ["host"])
+    readers.write_baseline(_clean(spark, sf_dir), path, ["host"])
     return readers.read_baseline(spark, path, ["host"])
 
 
@@ -98,7 +102,10 @@ def default_rules_on_texts(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"), F.lit("").alias("name"), F.col("source").alias("exe"), F.array("text").alias("cmdline")
     )
-    return _finding_columns(match.evaluate(texts, (*DEFAULT_RULES, *WORD_RULES[3:4])))
+    pages = table(spark, sf_dir, "pages").select(
+        (F.col("page_id") + 1000000000000).alias("seq"), F.lit("").alias("name"), F.col("url").alias("exe"), F.array("html").alias("cmdline")
+    )
+    return _finding_columns(match.evaluate(texts.unionByName(pages), (*DEFAULT_RULES, *WORD_RULES[3:4])))
 
 
 def findings_by_severity(spark, sf_dir):
@@ -123,7 +130,37 @@ def scan_pass(spark, sf_dir):
 def process_report(spark, sf_dir):
     known = base_ops.fingerprints(_baseline_rows(spark, sf_dir))
     result = process_hunt.scan(processes(spark, sf_dir), baseline=known, min_severity="medium")
-    return process_hunt.json_report(result, SCANNED_AT).select("host", "section", "seq", "line")
+    report = process_hunt.json_report(result, SCANNED_AT)
+    return report.select("host", F.col("snapshot_ts").cast("string").alias("snapshot_ts"), "section", "seq", "line")
+
+
+def process_documents(spark, sf_dir):
+    """Every process report written as text, read back whole, and parsed: what each snapshot's document holds."""
+    known = base_ops.fingerprints(_baseline_rows(spark, sf_dir))
+    result = process_hunt.scan(processes(spark, sf_dir), baseline=known, min_severity="medium")
+    path = new_path(spark, "process-reports")
+    report = process_hunt.json_report(result, SCANNED_AT).withColumn("folder", F.concat_ws("@", "host", "snapshot_ts"))
+    in_order(report, ("folder", *process_hunt.LINE_KEYS)).select("folder", "line").write.partitionBy("folder").text(path)
+    lines = spark.read.text(path, wholetext=True)
+    # The parts of a snapshot's folder in the order of their names are its document.
+    part = F.struct(F.col("_metadata.file_name").alias("file"), "value")
+    whole = lines.select("folder", part.alias("p")).groupBy("folder").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    doc = F.from_json(F.array_join("p.value", ""), process_hunt.DOCUMENT)
+    return whole.select(doc.alias("d")).select(
+        "d.host", "d.snapshot_ts", "d.process_count", "d.finding_count", "d.highest_severity",
+        F.size("d.findings").cast("bigint").alias("n_findings"),
+        F.get("d.findings", F.lit(0))["severity"].alias("first_severity"),
+        F.array_join(F.array_sort(F.transform("d.new_since_baseline", lambda p: p["pid"])), ",").alias("new_pids"),
+    )
+
+
+def rule_file(spark, sf_dir):
+    """Rules kept as JSON lines: written, read, validated, and run on every process."""
+    path = new_path(spark, "rules")
+    rows = [(i, r.id, r.pattern, list(r.match_fields), r.severity.upper(), r.mitre_tactic, r.mitre_technique, r.description or None)
+            for i, r in enumerate(WORD_RULES)]
+    spark.createDataFrame(rows, readers.RULE_SCHEMA).write.json(path)
+    return _finding_columns(match.evaluate(_clean(spark, sf_dir), readers.load_rules(readers.read_rules(spark, path))))
 
 
 def rule_violations(spark, sf_dir):
@@ -191,6 +228,8 @@ QUERIES = {
     "min_severity_filter": _counts("high"),
     "scan_pass": scan_pass,
     "process_report": process_report,
+    "process_documents": process_documents,
+    "rule_file": rule_file,
     "rule_violations": rule_violations,
     "watch_findings": watch_findings,
     "watch_new": watch_new,
@@ -225,7 +264,8 @@ def _with(ctes: str, select: str) -> str:
 _COLUMNS = "seq, rule_id, severity, mitre_tactic, mitre_technique, description, matched_field, matched_text"
 _DEFAULT = PROCESSES_SQL + "," + _hits_sql(DEFAULT_RULES)
 _WORDS = PROCESSES_SQL + "," + _hits_sql(WORD_RULES)
-_TEXTS = "texts AS (SELECT doc_id AS seq, '' AS name, source AS exe, text AS cmdline FROM documents)," + _hits_sql(
+_TEXTS = """texts AS (SELECT doc_id AS seq, '' AS name, source AS exe, text AS cmdline FROM documents
+  UNION ALL SELECT page_id + 1000000000000, '', url, html FROM pages),""" + _hits_sql(
     (*DEFAULT_RULES, *WORD_RULES[3:4]), "texts"
 )
 _NEW = """SELECT host, seq, name || ':' || exe AS fingerprint FROM processes p
@@ -248,16 +288,31 @@ described AS (
     || CASE WHEN cmdline = '' THEN '[]' ELSE '["' || replace(cmdline, ' ', '","') || '"]' END
     || ',"username":"' || username || '"}' AS process
   FROM processes)"""
-_REPORT_LINES = """
-SELECT host, 0 AS section, NULL AS seq, '{"scanned_at":"2024-01-02T00:00:00","process_count":' || process_count
+_UNKNOWN = "name || ':' || exe NOT IN (SELECT name || ':' || exe FROM processes WHERE seq % 3 = 0)"
+_REPORT_LINES = f"""
+SELECT host, CAST(snapshot_ts AS VARCHAR) AS snapshot_ts, section, seq, line FROM (
+SELECT host, snapshot_ts, 0 AS section, NULL AS seq, '{{"host":"' || host || '","snapshot_ts":"'
+  || strftime(snapshot_ts, '%Y-%m-%dT%H:%M:%S') || '","scanned_at":"2024-01-02T00:00:00","process_count":' || process_count
   || ',"finding_count":' || finding_count || ',"highest_severity":'
-  || coalesce('"' || highest_severity || '"', 'null') || '}' AS line FROM counts
-UNION ALL SELECT host, 1, seq, '{"rule_id":"' || rule_id || '","severity":"' || severity || '","mitre_tactic":"'
-  || mitre_tactic || '","mitre_technique":"' || mitre_technique || '","description":"' || description
-  || '","matched_field":"' || matched_field || '","matched_text":"' || matched_text || '","process":' || process || '}'
+  || coalesce('"' || highest_severity || '"', 'null') || ',"findings":[' AS line FROM counts
+UNION ALL SELECT host, snapshot_ts, 1, seq, CASE WHEN row_number() OVER (PARTITION BY host, snapshot_ts
+    ORDER BY severity_rank DESC, seq, rule_ord) = 1 THEN '' ELSE ',' END || '{{"rule_id":"' || rule_id || '","severity":"'
+  || severity || '","mitre_tactic":"' || mitre_tactic || '","mitre_technique":"' || mitre_technique || '","description":"'
+  || description || '","matched_field":"' || matched_field || '","matched_text":"' || matched_text || '","process":'
+  || process || '}}'
 FROM hits JOIN described USING (seq) WHERE severity_rank >= 1
-UNION ALL SELECT host, 2, seq, process FROM described
-WHERE name || ':' || exe NOT IN (SELECT name || ':' || exe FROM processes WHERE seq % 3 = 0)"""
+UNION ALL SELECT host, snapshot_ts, 2, NULL, '],"new_since_baseline":[' FROM counts
+UNION ALL SELECT host, snapshot_ts, 3, seq, CASE WHEN row_number() OVER (PARTITION BY host, snapshot_ts ORDER BY seq) = 1
+  THEN '' ELSE ',' END || process FROM described WHERE {_UNKNOWN}
+UNION ALL SELECT host, snapshot_ts, 4, NULL, ']}}' FROM counts)"""
+_REPORT_CONTENT = f"""
+SELECT c.host, strftime(c.snapshot_ts, '%Y-%m-%dT%H:%M:%S') AS snapshot_ts, process_count, finding_count,
+  highest_severity, finding_count AS n_findings,
+  (SELECT arg_max(h.severity, h.severity_rank) FROM hits h JOIN processes p USING (seq)
+    WHERE p.host = c.host AND p.snapshot_ts = c.snapshot_ts AND h.severity_rank >= 1) AS first_severity,
+  coalesce((SELECT string_agg(p.pid, ',' ORDER BY p.pid) FROM processes p WHERE p.host = c.host
+    AND p.snapshot_ts = c.snapshot_ts AND {_UNKNOWN}), '') AS new_pids
+FROM counts c"""
 
 _RULES_SQL = """
 once AS (
@@ -289,10 +344,10 @@ FROM processes""",
     "cmdline_join": _with(PROCESSES_SQL, "SELECT seq, cmdline FROM processes"),
     "process_fingerprint": _with(PROCESSES_SQL, "SELECT seq, name || ':' || exe AS fingerprint FROM processes"),
     "baseline_write": _with(
-        PROCESSES_SQL, "SELECT DISTINCT name || ':' || exe AS fingerprint FROM processes WHERE seq % 3 = 0"
+        PROCESSES_SQL, "SELECT DISTINCT name || ':' || exe AS fingerprint FROM processes"
     ),
     "baseline_read": _with(
-        PROCESSES_SQL, "SELECT DISTINCT host, name || ':' || exe AS fingerprint FROM processes WHERE seq % 3 = 0"
+        PROCESSES_SQL, "SELECT DISTINCT host, name || ':' || exe AS fingerprint FROM processes"
     ),
     "baseline_new": _with(PROCESSES_SQL, _NEW.format("seq % 3 = 0")),
     "baseline_new_by_host": _with(PROCESSES_SQL, _NEW.format("seq % 3 = 0 AND host = p.host")),
@@ -305,6 +360,8 @@ FROM processes""",
     "min_severity_filter": _with(_DEFAULT, _counts_sql(2)),
     "scan_pass": _with(_DEFAULT, f"SELECT {_COLUMNS} FROM hits WHERE severity_rank >= 2"),
     "process_report": _with(_REPORT, _REPORT_LINES),
+    "process_documents": _with(_REPORT, _REPORT_CONTENT),
+    "rule_file": _with(_WORDS, f"SELECT {_COLUMNS} FROM hits"),
     "rule_violations": _with(
         _RULES_SQL,
         """SELECT ord AS rule_ord, id AS rule_id, 'missing keys: ' || missing AS violation FROM gaps WHERE missing <> ''

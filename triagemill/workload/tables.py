@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import epoch_seconds, iso, ntz_from_epoch
-from ..sources.tables import read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(index: Column, *values: str) -> Column:
@@ -35,7 +34,7 @@ def auth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         F.when(u % 10 < 4, "auth-0.log").otherwise(F.concat(F.lit("auth-"), u % 10, F.lit(".log"))).alias("source_file"),
         F.when(u % 3 == 0, "203.0.113.5").otherwise(F.concat(F.lit("198.51.100."), u % 40)).alias("ip"),
-        F.when(n % 5 == 0, "root").otherwise(F.concat(F.lit("user"), u % 7)).alias("user"),
+        F.when(n % 5 == 0, "root").when(u % 7 == 5, "jürgen").otherwise(F.concat(F.lit("user"), u % 7)).alias("user"),
         ntz_from_epoch(F.when(n % 11 == 3, late).otherwise(offset) + start).alias("t"),
     )
     months = F.array(*(F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()))
@@ -93,7 +92,7 @@ base AS (
   SELECT event_id AS n, event_type,
     CASE WHEN user_id % 10 < 4 THEN 'auth-0.log' ELSE 'auth-' || (user_id % 10) || '.log' END AS source_file,
     CASE WHEN user_id % 3 = 0 THEN '203.0.113.5' ELSE '198.51.100.' || (user_id % 40) END AS ip,
-    CASE WHEN event_id % 5 = 0 THEN 'root' ELSE 'user' || (user_id % 7) END AS usr,
+    CASE WHEN event_id % 5 = 0 THEN 'root' WHEN user_id % 7 = 5 THEN 'jürgen' ELSE 'user' || (user_id % 7) END AS usr,
     TIMESTAMP '2024-01-01 00:00:00' + to_seconds(
       CASE WHEN event_id % 11 = 3
         THEN greatest((CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 200 - 20, 0)
@@ -136,7 +135,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nseen hxxps://evil[.]example[.]com/"), n % 97, F.lit(" then HXXP://x.example.com and hxxp://b[.]example[.]net/q\n"),
         F.lit("by Ops[at]Example.org, ops@example.org; hashes "), F.md5("text"), F.lit(" "), F.sha1("text"), F.lit(" "),
         F.sha2("text", 256), F.lit(" cve-2024-"), 10000 + n % 50, F.lit(" CVE-2024-"), 10000 + n % 50,
-        F.lit(" from 185[.]220[.]101[.]"), n % 30, F.lit(" via 10.0."), n % 256, F.lit(".7, 01.2.3.4 (explorer.exe) e.g.com"),
+        F.lit(" from 185[.]220[.]101[.]"), n % 30, F.lit(" via 10.0."), n % 256, F.lit(".7, 01.2.3.4 (explorer.exe) e.g.com, Malo.ejemplo.es"),
     )
     text = F.when(n % 2 == 0, F.concat(F.col("text"), tail)).otherwise(F.col("text"))
     pages = table(spark, sf_dir, "pages")
@@ -153,7 +152,7 @@ alerts AS (
       || 'by Ops[at]Example.org, ops@example.org; hashes ' || md5(text) || ' ' || sha1(text) || ' ' || sha256(text)
       || ' cve-2024-' || (10000 + doc_id % 50) || ' CVE-2024-' || (10000 + doc_id % 50)
       || ' from 185[.]220[.]101[.]' || (doc_id % 30) || ' via 10.0.' || (doc_id % 256)
-      || '.7, 01.2.3.4 (explorer.exe) e.g.com'
+      || '.7, 01.2.3.4 (explorer.exe) e.g.com, Malo.ejemplo.es'
     ELSE text END AS text
   FROM documents
   UNION ALL SELECT page_id + 1000000000000, url || ' ' || html FROM pages)"""

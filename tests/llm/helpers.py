@@ -19,7 +19,7 @@ def documents(spark, rows, extra=False):
 
 def odd_rows():
     """Null, empty, blank, repeated and long texts, ties, repeated and null ids."""
-    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    long = " ".join(f"w{i % 977}" for i in range(120_000))
     return [
         (1, None), (2, ""), (3, "  \t\n "), (4, "same text here"), (5, "same  text\there"), (5, "same text here"),
         (None, "same text here"), (None, None), (6, long), (7, long + " end"), (-8, "A"), (9, "é" * 3000),

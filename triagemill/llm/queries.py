@@ -13,6 +13,7 @@ from . import (
     decontaminate,
     exact_dedup,
     language_id,
+    oracles,
     pieces,
     quality,
     simhash,
@@ -100,11 +101,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op6_exact_dedup": r"""
-        WITH n AS (
-            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
-        ), g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256
-        FROM n JOIN g ON n.t = g.t
-    """,
+    "op2_chat": oracles.CHAT,
+    "op5_suffix_dedup": oracles.BYTES,
+    "op6_exact_dedup": oracles.EXACT,
+    "op7_substring_dedup": oracles.WORDS,
+    "op9_decontamination": oracles.CONTAMINATION,
 }

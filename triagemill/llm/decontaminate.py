@@ -34,6 +34,7 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 HITS = "row long, doc_id long, n_words long, spans binary, items array<string>, null_item boolean"
+MERGED = "row long, doc_id long, n_words long, n_hit long, spans binary, items array<string>, null_item boolean"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -181,16 +182,17 @@ class ItemAutomaton:
         return list(zip(starts[long].tolist(), stops[long].tolist()))
 
 
-def item_words(items: DataFrame) -> DataFrame:
-    """``item_id`` as a string and a text of each item with its number of words; equal rows once."""
-    return items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+def item_texts(items: DataFrame) -> DataFrame:
+    """``item_id`` as a string and the text of each item; equal rows once."""
+    own = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.distinct()
 
 
 def automata(items: DataFrame, window: int, most_words: int) -> Iterator[ItemAutomaton]:
     """Automata over all items, each of at most ``most_words`` words, built one after the other."""
     held: list[tuple[str | None, list[bytes]]] = []
     total = 0
-    for row in item_words(items).toLocalIterator():
+    for row in item_texts(items).toLocalIterator():
         words = words_of(row.text.encode())
         # Pieces of a very long item share window - 1 words, so each of its windows lies in one of them.
         step = max(1, most_words - window + 1)
@@ -218,7 +220,9 @@ def item_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_word
     return found
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, most_words: int = AUTOMATON_WORDS
+) -> DataFrame:
     """``row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans`` for each row of ``docs``."""
     found = item_hits(docs, items, window, most_words)
     merged = found.groupBy("row").agg(
@@ -228,7 +232,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max("null_item").alias("null_item"),
     )
-    return merged.mapInArrow(_merge_spans, "row long, doc_id long, n_words long, n_hit long, spans binary, items array<string>, null_item boolean").select(
+    return merged.mapInArrow(_merge_spans, MERGED).select(
         "row",
         "doc_id",
         "n_words",
@@ -241,7 +245,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, longest: int = WINDOW, coverage: float = 0.2, window: int = WINDOW, most_words: int = AUTOMATON_WORDS
+    docs: DataFrame,
+    items: DataFrame,
+    longest: int = WINDOW,
+    coverage: float = 0.2,
+    window: int = WINDOW,
+    most_words: int = AUTOMATON_WORDS,
 ) -> DataFrame:
     """``docs`` without what they share with the items.
 
@@ -306,8 +315,8 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_hit.append(int(mask.sum()))
             merged.append(_ranges(mask).astype("<i4").tobytes())
         names = ["row", "doc_id", "n_words", "n_hit", "spans", "items", "null_item"]
-        columns = {"n_hit": pa.array(n_hit, pa.int64()), "spans": pa.array(merged, pa.binary())}
-        yield pa.RecordBatch.from_arrays([columns.get(c, None) if c in columns else batch.column(c) for c in names], names)
+        made = {"n_hit": pa.array(n_hit, pa.int64()), "spans": pa.array(merged, pa.binary())}
+        yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
 
 
 def _cut(held, longest: int, coverage: float):

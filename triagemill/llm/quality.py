@@ -79,15 +79,12 @@ def features(texts: list[bytes], stated: list[int | None]) -> tuple[np.ndarray,
     twice = np.bincount(doc[1:][same_doc & (word[1:] == word[:-1])], minlength=n)
     pair_doc = doc[1:][same_doc]
     pair = mixed(word[1:] * np.uint64(3) + word[:-1])[same_doc] >> np.uint64(20)
-    pairs = np.bincount(np.unique(np.stack([pair_doc.astype(np.uint64), pair]), axis=1)[0].astype(np.int64), minlength=n) if len(pair) else np.zeros(n)
+    pairs = np.bincount(_distinct_docs(pair_doc, pair), minlength=n)
     line_starts, line_stops = runs(buffer != 10)
     line_doc = np.searchsorted(edge, line_starts, side="right") - 1
     lines = np.bincount(line_doc, minlength=n)
     line = hashes(buffer, line_starts, line_stops)
-    order = np.lexsort((line, line_doc))
-    fresh = np.ones(len(order), dtype=bool)
-    fresh[1:] = (line[order][1:] != line[order][:-1]) | (line_doc[order][1:] != line_doc[order][:-1])
-    distinct_lines = np.bincount(line_doc[order][fresh], minlength=n)
+    distinct_lines = np.bincount(_distinct_docs(line_doc, line), minlength=n)
     last = buffer[stops - 1] if len(stops) else np.zeros(0, np.uint8)
     plain = (last == 44) | (last == 46)
     length = np.array([-1 if s is None else s for s in stated], dtype=float)
@@ -123,6 +120,15 @@ def features(texts: list[bytes], stated: list[int | None]) -> tuple[np.ndarray,
     )
 
 
+def _distinct_docs(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The documents of the distinct pairs of a document and a value."""
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    fresh = np.ones(len(doc), dtype=bool)
+    fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    return doc[fresh]
+
+
 class Model:
     """A fitted machine; ``edges`` are the bin borders of each statistic."""
 

@@ -159,13 +159,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all columns. Texts move once; rows of one hot text are dealt out by their ids."""
     columns = docs.columns
+    # Keys without nulls let the window read the join's exchange.
     index = build_index(text_digests(docs)).select(
-        F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep")
+        F.col("text_sha256").alias("__sha"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("__keep")
     )
-    marked = docs.withColumn("__sha", _digest()).withColumn("__keep", F.col("doc_id").cast("long"))
-    same = (marked["__sha"] == index["__sha"]) & marked["__keep"].eqNullSafe(index["__keep"])
+    own = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    marked = docs.withColumn("__sha", _digest()).withColumn("__keep", own)
     repeats = Window.partitionBy("__sha", "__keep").orderBy(F.xxhash64(*columns))
-    kept = marked.join(index, same, "left_semi").withColumn("__n", F.row_number().over(repeats))
+    kept = marked.join(index, ["__sha", "__keep"], "left_semi").withColumn("__n", F.row_number().over(repeats))
     return kept.where("__n = 1").select(*columns)
 
 

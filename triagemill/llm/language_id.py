@@ -35,6 +35,11 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+def _part(key: Column) -> Column:
+    """A number from 0 to 1 by the hash of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+
+
 class Model:
     """Languages and the log probability of each bucket in each; the last row is for n-grams that do not count."""
 
@@ -92,6 +97,12 @@ def buckets(points: np.ndarray) -> Iterator[np.ndarray]:
 def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
     """A model from rows of ``docs`` (``doc_id, text, lang``) for which ``learn`` holds."""
     usable = docs.where(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    sizes = usable.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages; the matrix is bounded for them")
+    # Hashes below a limit that about twice the wanted rows of a language pass: few rows reach the window.
+    limits = [x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, (2 * per_lang + 200) / r["count"])))]
+    usable = usable.where(_part(F.col("doc_id")) < F.create_map(*limits)[F.col("lang")]) if limits else usable
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = usable.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
     # At most per_lang ids of each language.
@@ -99,8 +110,6 @@ def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in rows})
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"{len(langs)} languages; the matrix is bounded for {MOST_LANGS}")
     place = {lang: i for i, lang in enumerate(langs)}
     counts = np.zeros((BUCKETS, len(langs)))
     for r in rows:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
@@ -196,13 +196,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     prints = stage(fingerprints(docs), "prints")
     found = with_components(prints).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__first"))
-    kept = found.where(F.col("__id").eqNullSafe(F.col("__first"))).select("__id").distinct()
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    rest = marked.join(kept, marked["__id"].eqNullSafe(kept["__id"]), "left_semi")
+    kept = found.where(F.col("__id").eqNullSafe(F.col("__first"))).select(_key().alias("__id")).distinct()
+    # Keys without nulls let the window read the join's exchange.
+    rest = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__id", _key()).join(kept, "__id", "left_semi")
     repeats = Window.partitionBy("__id").orderBy(F.xxhash64(*columns))
     return rest.withColumn("__n", F.row_number().over(repeats)).where("__n = 1").select(*columns)
 
 
+def _key() -> Column:
+    return F.coalesce(F.col("__id").cast("string"), F.lit(""))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", SLICE_BYTES):

@@ -69,7 +69,7 @@ def leading(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def splitters(docs: DataFrame, n: int, length: int) -> np.ndarray:
     """``n - 1`` leading byte strings that cut a sample of the suffixes into equal shares."""
-    ids = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    ids = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null")
     # At most SAMPLE_DOCS numbers. The sample decides how even the buckets are, not what they find.
     picked = ids.orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
     read = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id", "left_semi")

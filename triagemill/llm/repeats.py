@@ -38,6 +38,8 @@ from .word_hashes import hashes, mixed
 PAGE_BYTES = 1 << 19
 #: Units handled at once; a longer document is handled in overlapping parts.
 PART = 1 << 17
+#: Buckets of pieces for each partition: a task holds one bucket at a time, and several even out.
+PIECE_BUCKETS = 4
 PLACE = np.uint64((1 << 24) - 1)
 LAST = np.iinfo(np.int64).max
 PAGES = "page long, doc_ids array<long>, sizes binary, payload binary"
@@ -306,7 +308,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_spans(pages: DataFrame, method: Method) -> DataFrame:
     """``pages`` with ``spans``: packed ``(place of the document, first unit, unit behind)`` that are repeats."""
     n = partitions(pages)
-    sent = pages.mapInArrow(_pieces(method, n), PIECES)
+    sent = pages.mapInArrow(_pieces(method, PIECE_BUCKETS * n), PIECES)
     met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(
         _compare(method), "page long, spans binary"
     )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, slices, text_bytes
-from .repeats import Bucket, Method, Page, Units, anchor_runs, remove_repeats, removal_mask
+from .repeats import PIECE_BUCKETS, Bucket, Method, Page, Units, anchor_runs, remove_repeats, removal_mask
 from .word_hashes import mixed
 
 LENGTH = 50
@@ -146,7 +146,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for each row of ``docs``; ``length`` is at least 24."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
-    method = suffix_method(splitters(docs, partitions(docs), length), length)
+    method = suffix_method(splitters(docs, PIECE_BUCKETS * partitions(docs), length), length)
 
     def cut(page: Page, spans: list[bytes] | None) -> pa.RecordBatch:
         sizes = [len(t) for t in page.texts]

@@ -13,7 +13,7 @@
 
 Words are looked up before they are encoded: no token of this vocabulary reaches over the border in front of a blank
 that follows a character, so the ids of a text are those of its parts between such borders. The library encodes each
-new part.
+new part; for a part of Latin letters its model is asked directly.
 
 Defined results: a null text counts as empty and has the end id only. Rows without ``doc_id`` come last; rows that
 repeat an id stand in any order among themselves. An empty table gives an empty file set. One document lies whole in one
@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,13 @@ BLOCK = 1 << 21
 LOW = np.uint64(1 << 31)
 MEMO = 800_000
 SLICE_BYTES = 4 << 20
+#: Letters up to here have been letters in every version of Unicode that the library may know.
+LAST_LATIN = "\u024f"
+#: Signs that stand for bytes in the vocabulary: printable Latin-1 for itself, the other bytes from U+0100 on in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_SIGNS = {**{b: chr(b) for b in _PRINTABLE}, **{b: chr(256 + i) for i, b in enumerate(_OTHERS)}}
+BLANK_SIGN = BYTE_SIGNS[32]
 TOKENS = "shard int, doc_id long, n long, ids binary"
 BLOCKS = (
     "shard int, block int, first_token long, doc_ids array<long>, doc_sizes array<long>, n_tokens long, "
@@ -59,31 +67,61 @@ class Words:
         self.vocabulary = vocabulary
         self.tokenizer = None
         self.memo: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
-        return {"vocabulary": self.vocabulary, "tokenizer": None, "memo": {}}
+        return {"vocabulary": self.vocabulary, "tokenizer": None, "memo": {}, "bare": {}}
 
     def _load(self) -> None:
         if self.tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             self.tokenizer = tokenizers.Tokenizer.from_str(self.vocabulary)
+            self.model = self.tokenizer.model
             self.line = np.array(self._ids(["\n"])[0], np.uint32)
+            self.stops = {"": b"", **{c: _packed(ids) for c, ids in zip(",.", self._ids([",", "."]))}}
 
     def _ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _letters(self, word: str, front: str, memo: dict[str, bytes]) -> bytes | None:
+        """Ids of a word of Latin letters, perhaps with a comma or stop behind it; None for any other.
+
+        The letters are one piece for the model, so the splitting of texts into pieces is not needed.
+        """
+        stop = word[-1:] if word[-1:] in (",", ".") else ""
+        letters = word[:-1] if stop else word
+        if not letters.isalpha() or max(letters) > LAST_LATIN:
+            return None
+        ids = memo.get(letters)
+        if ids is None:
+            shown = letters if letters.isascii() else "".join(map(BYTE_SIGNS.__getitem__, letters.encode()))
+            ids = memo[letters] = array("I", [t.id for t in self.model.tokenize(front + shown)]).tobytes()
+        return ids + self.stops[stop]
+
     def _learn(self, words: set[str]) -> None:
-        """Ids of each word with a blank in front. Words without white space are encoded together, a line end between."""
-        lone = [w for w in words if "<|" in w or _BLANK.search(w)]
+        """Ids of each word with a blank in front. A single line end between letters is a piece of its own."""
+        memo, rest, line = self.memo, [], self.line.tobytes()
+        for word in words:
+            first, cut, second = word.partition("\n")
+            ids = self._letters(first, BLANK_SIGN, memo)
+            if cut and ids is not None:
+                after = self._letters(second, "", self.bare)
+                ids = None if after is None else ids + line + after
+            if ids is None:
+                rest.append(word)
+            else:
+                memo[word] = ids
+        # Other words without white space are encoded together, a line end between.
+        lone = [w for w in rest if "<|" in w or _BLANK.search(w)]
         for word, ids in zip(lone, self._ids([" " + w for w in lone])):
-            self.memo[word] = np.array(ids, np.uint32).tobytes()
-        plain = list(words.difference(lone))
+            memo[word] = _packed(ids)
+        plain = list(set(rest).difference(lone))
         for at in range(0, len(plain), 500):
             part = plain[at : at + 500]
             ids = np.array(self._ids([" " + "\n ".join(part) + "\n"])[0], np.uint32)
             raw, start = ids.tobytes(), 0
             for word, stop in zip(part, (4 * np.flatnonzero(ids == self.line[0])).tolist()):
-                self.memo[word] = raw[start:stop]
+                memo[word] = raw[start:stop]
                 start = stop + 4
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -92,9 +130,10 @@ class Words:
         split = [t.split(" ") for t in texts]
         tails = [self._tail(words) for words in split]
         used = set().union(*(words[1:] for words in split))
-        if len(self.memo) > MEMO:
+        if len(self.memo) + len(self.bare) > MEMO:
             # What these texts use stays, and with it the frequent words.
             self.memo = {w: self.memo[w] for w in used if w in self.memo}
+            self.bare.clear()
         memo = self.memo
         new = used.difference(memo)
         # A part that is empty or ends in white space belongs together with the blank behind it. None is ever learned.
@@ -108,14 +147,22 @@ class Words:
         if changed:
             new = set().union(*(words[1:] for words in split)).difference(memo)
         self._learn(new)
-        heads = self._ids([words[0] for words in split])
+        heads = self._heads([words[0] for words in split])
         ends = [self._ids([tail])[0] if tail else [] for tail in tails]
         get = memo.__getitem__
         return [
-            np.frombuffer(b"".join([_packed(head), *map(get, words[1:]), _packed(end)]), np.uint32)
+            np.frombuffer(b"".join([head, *map(get, words[1:]), _packed(end)]), np.uint32)
             for head, words, end in zip(heads, split, ends)
         ]
 
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of the first parts of texts, which have no blank in front."""
+        out = [self._letters(head, "", self.bare) for head in heads]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._ids([heads[i] for i in rest])):
+            out[i] = _packed(ids)
+        return out
+
     @staticmethod
     def _tail(words: list[str]) -> str:
         """Takes off the last part if white space ends it, and returns it with its blank."""

@@ -120,6 +120,23 @@ def test_odd_rows_and_long_documents(spark):
         assert operator(documents(spark, [])).collect() == []
 
 
+def test_passages_beyond_the_first_stretch(spark):
+    """Texts of several stretches that share passages at other places, with each other and with a short text."""
+    r = random.Random(6)
+    say = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passages = [say(r.randint(60, 300)) for _ in range(40)]
+    first, second = say(300_000), say(330_000)
+    for passage in passages:
+        first += passage + say(r.randint(7000, 8000))
+        second += say(r.randint(7000, 8000)) + passage
+    rows = [(1, first), (2, second + say(500)), (3, "short " + passages[5] + say(80)), (0, passages[6] + say(90))]
+    assert min(len(first), len(second)) > 600_000
+    got = suffix_dedup.remove_repeated_bytes(documents(spark, rows)).withColumn("h", F.sha2("kept", 256)).collect()
+    expected = without_repeats(rows, 50, lambda t: t, bytes)
+    assert sorted([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.h) for x in got], key=str) == expected
+    assert {e[0]: e[3] for e in expected}[2] >= 40
+
+
 def test_multikey_groups():
     r = np.random.default_rng(5)
     rows = r.integers(0, 3, (4000, 5)).astype(np.uint64)

@@ -137,7 +137,7 @@ def byte_groups(bucket: Bucket) -> np.ndarray:
 
 def suffix_method(bounds: np.ndarray, length: int = LENGTH) -> Method:
     def bucket(units: Units, anchors: np.ndarray, n: int) -> np.ndarray:
-        return np.searchsorted(bounds, leading(units.buffer, anchors), side="right")
+        return np.searchsorted(bounds, leading(units.buffer, units.starts[anchors]), side="right")
 
     return Method(length, GRAM, byte_units, bucket, byte_groups)
 

@@ -8,6 +8,7 @@ import __spark_entry__
 import corpus_pipeline
 import pytest
 from helpers import documents, odd_rows
+from pyspark.sql import functions as F
 
 from triagemill.llm import decontaminate
 
@@ -89,6 +90,31 @@ def test_cutting(spark):
     assert kept[1].n_chars == 10 and kept[4].text is None
 
 
+@pytest.mark.parametrize("coverage", [0.2, 1.0])
+def test_cutting_with_several_automata(spark, coverage):
+    rows, items = cases(3)
+    fill = lambda n: " ".join(f"f{r}" for r in range(n))
+    # Short items that cover 28 % of a text, of which an automaton of 60 words sees at most half.
+    items += [(100 + i, f"s{i} t{i}") for i in range(60)]
+    rows += [(500, " ".join(f"s{i} t{i} {fill(5)}" for i in range(60))), (501, f"s1 t1 {fill(20)} s40 t40")]
+    # Windows that hold a short item, which another automaton may see first.
+    for k in range(30):
+        item = [f"m{k}x{i}" for i in range(12)]
+        items += [(200 + k, " ".join(item)), (300 + k, " ".join(item[4:6]))]
+        rows.append((600 + k, " ".join([*item[:10], fill(60)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, rows, extra=True).withColumn("__spans", F.lit("clash"))
+
+    def cut(most_words):
+        got = decontaminate.decontaminate(docs, bench, coverage=coverage, most_words=most_words)
+        assert got.columns == docs.columns
+        return sorted(map(str, got.collect()))
+
+    whole = cut(decontaminate.AUTOMATON_WORDS)
+    assert cut(60) == whole and 0 < len(whole) < len(rows)
+    assert not any("m0x0" in row for row in whole)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names

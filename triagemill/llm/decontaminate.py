@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_bytes
 
@@ -258,12 +259,21 @@ def decontaminate(
     is test material and goes as a whole. Shorter hits, from items below the window, are cut out of the text: from the
     first character of the run to the character before the next word. ``n_chars``, if present, follows the new text.
     """
-    columns = docs.columns
+    spans = "__spans"
+    while spans in docs.columns:
+        spans += "_"
+    # All but the last automaton only note their hits; one decision is then taken on the whole of them.
+    noted = T.StructType([*docs.schema.fields, T.StructField(spans, T.BinaryType())])
     out = docs
-    for automaton in automata(items, window, most_words):
-        held = docs.sparkSession.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(_cut(held, longest, coverage), out.schema)
-    return out.select(*columns)
+    dealt = automata(items, window, most_words)
+    automaton = next(dealt)
+    while automaton is not None:
+        held, automaton = docs.sparkSession.sparkContext.broadcast(automaton), next(dealt, None)
+        if automaton is None:
+            out = out.mapInArrow(_cut(held, spans, longest, coverage), docs.schema)
+        else:
+            out = out.mapInArrow(_note(held, spans), noted)
+    return out
 
 
 def _scan(held):
@@ -319,14 +329,36 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
 
 
-def _cut(held, longest: int, coverage: float):
+def _all_hits(automaton: ItemAutomaton, batch: pa.RecordBatch, spans: str) -> Iterator[tuple[bytes, np.ndarray | None]]:
+    """For each text its bytes and which of its words are hit, by this automaton or those that noted ``spans``."""
+    noted = batch.column(spans).to_pylist() if spans in batch.schema.names else [b""] * batch.num_rows
+    for raw, packed in zip(text_bytes(batch.column("text")), noted):
+        words = words_of(raw)
+        mask, _ = automaton.hits(words)
+        if packed:
+            mask = np.zeros(len(words), dtype=bool) if mask is None else mask
+            for start, stop in np.frombuffer(packed, "<i4").reshape(-1, 2).tolist():
+                mask[start:stop] = True
+        yield raw, mask
+
+
+def _note(held, spans: str):
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = held.value
+        for batch in batches:
+            found = [b"" if m is None else _ranges(m).astype("<i4").tobytes() for _, m in _all_hits(automaton, batch, spans)]
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != spans}
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(found, pa.binary())], [*columns, spans])
+
+    return note
+
+
+def _cut(held, spans: str, longest: int, coverage: float):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = held.value
         for batch in batches:
             keep, texts, changed = [], batch.column("text").to_pylist(), False
-            for i, text in enumerate(texts):
-                raw = (text or "").encode()
-                mask, _ = automaton.hits(words_of(raw))
+            for i, (raw, mask) in enumerate(_all_hits(automaton, batch, spans)):
                 if mask is None:
                     keep.append(True)
                     continue
@@ -334,6 +366,8 @@ def _cut(held, longest: int, coverage: float):
                 keep.append(bool((runs[:, 1] - runs[:, 0]).max() < longest and mask.mean() <= coverage))
                 if keep[-1]:
                     texts[i], changed = _without(raw, runs), True
+            if spans in batch.schema.names:
+                batch = batch.drop_columns([spans])
             if changed:
                 batch = _replace(batch, "text", pa.array(texts, batch.schema.field("text").type))
                 if "n_chars" in batch.schema.names:

@@ -216,3 +216,15 @@ def test_one_document_of_each_component_stays(spark):
     got = simhash.drop_near_duplicates(docs)
     assert got.columns == docs.columns and sorted(x.doc_id for x in got.collect()) == [3, 9]
     assert simhash.drop_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_texts_without_an_id_or_with_equal_ids_are_judged_by_their_own(spark):
+    r = random.Random(8)
+    say = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(200))
+    texts = [say() for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:6]] + [(7, texts[6]), (None, texts[6]), (6, texts[7]), (5, texts[7])]
+    rows += [(None, texts[0]), (None, texts[1].title()), (5, texts[4]), (None, None), (None, "")]
+    got = simhash.drop_near_duplicates(documents(spark, rows, extra=True)).collect()
+    assert sorted((x.text or "").lower() for x in got) == sorted(["", *texts])
+    ids = {(x.text or "").lower(): x.doc_id for x in got}
+    assert [ids[t] for t in texts] == [None] * 4 + [5, 5, 7, 5]

@@ -192,27 +192,48 @@ def with_components(prints: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component with all its columns: that of the smallest ``doc_id``."""
+    """One row of each component with all its columns: that of the smallest ``doc_id``; null is larger than any other.
+
+    Rows are told apart by id and text, so unrelated texts that share an id or have none are each judged by their own.
+    """
     columns = docs.columns
-    prints = stage(fingerprints(docs), "prints")
-    found = with_components(prints).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__first"))
-    kept = found.where(F.col("__id").eqNullSafe(F.col("__first"))).select(_key().alias("__id")).distinct()
-    # Keys without nulls let the window read the join's exchange.
-    rest = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__id", _key()).join(kept, "__id", "left_semi")
-    repeats = Window.partitionBy("__id").orderBy(F.xxhash64(*columns))
-    return rest.withColumn("__n", F.row_number().over(repeats)).where("__n = 1").select(*columns)
+    key = _free("__key", columns)
+    keyed = docs.withColumn(key, _key())
+    prints = stage(keyed.select(F.col("doc_id").cast("long"), "text", F.col(key).alias("key")).mapInArrow(
+        _fingerprints, "doc_id long, print long, key string"), "prints")
+    # Nulls last; each print gives its first row, then each component.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    distinct = stage(prints.groupBy("print").agg(first), "distinct")
+    roots = components(links(distinct))
+    named = distinct.join(roots, distinct["print"] == roots["node"], "left")
+    kept = named.groupBy(F.coalesce("root", "print")).agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    # Rows of one key have equal texts and with them one component. The key has no nulls, so the window reads the join's exchange.
+    rest = keyed.join(kept, key, "left_semi")
+    n = _free("__n", columns)
+    repeats = Window.partitionBy(key).orderBy(F.xxhash64(*columns))
+    return rest.withColumn(n, F.row_number().over(repeats)).where(F.col(n) == 1).select(*columns)
 
 
 def _key() -> Column:
-    return F.coalesce(F.col("__id").cast("string"), F.lit(""))
+    """Id and digest of the text."""
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), text)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", SLICE_BYTES):
             prints = np.array([fingerprint(t) for t in text_bytes(batch.column("text"))], dtype=np.uint64)
+            rest = [c for c in batch.schema.names if c not in ("doc_id", "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"]
+                [batch.column("doc_id"), pa.array(prints.view(np.int64)), *map(batch.column, rest)],
+                ["doc_id", "print", *rest],
             )
 
 

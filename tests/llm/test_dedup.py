@@ -10,7 +10,7 @@ import xxhash
 from helpers import documents, id_key, odd_rows, repeating_rows, without_repeats
 from pyspark.sql import functions as F
 
-from triagemill.llm import exact_dedup, simhash, substring_dedup, suffix_dedup
+from triagemill.llm import exact_dedup, similar_sets, simhash, substring_dedup, suffix_dedup
 
 
 def normal(text):
@@ -228,3 +228,34 @@ def test_texts_without_an_id_or_with_equal_ids_are_judged_by_their_own(spark):
     assert sorted((x.text or "").lower() for x in got) == sorted(["", *texts])
     ids = {(x.text or "").lower(): x.doc_id for x in got}
     assert [ids[t] for t in texts] == [None] * 4 + [5, 5, 7, 5]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_five_word_shingles_go(spark):
+    r = random.Random(11)
+    say = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    rows, near, far = [], 0, 0
+    for i in range(150):
+        words = say(r.randint(90, 160))
+        rows.append((2 * i, " ".join(words)))
+        copy = list(words)
+        for at in r.sample(range(5, len(words) - 5), r.choice([1, 1, 2, 2, 12])):
+            copy[at] = "changed"
+        rows.append((2 * i + 1, " ".join(copy).title()))
+        similar = jaccard(rows[-1][1], rows[-2][1])
+        near, far = near + (similar >= 0.8), far + (similar < 0.6)
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(documents(spark, rows, extra=True)).collect()}
+    pairs = [jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(150)]
+    assert kept == {2 * i for i in range(150)} | {2 * i + 1 for i in range(150) if pairs[i] < 0.8}
+    assert near > 90 and far > 10
+
+
+def test_shingle_sets():
+    texts = ["", "One two", "a b c d e f a b c d e", "x " * 50, " lead  and\ttrail \n"]
+    for text, got in zip(texts, similar_sets.shingle_sets([t.encode() for t in texts])):
+        w = text.lower().split()
+        assert len(got) == (len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0)

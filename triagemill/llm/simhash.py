@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
+from . import similar_sets
 from .common import LOWER, partitions, slices, text_bytes
 
 SHINGLE = 3
@@ -191,22 +192,34 @@ def with_components(prints: DataFrame) -> DataFrame:
     return prints.join(named, "print")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, size: int = similar_sets.SIZE, similarity: float = similar_sets.SIMILARITY
+) -> DataFrame:
     """One row of each component with all its columns: that of the smallest ``doc_id``; null is larger than any other.
 
-    Rows are told apart by id and text, so unrelated texts that share an id or have none are each judged by their own.
+    Components are linked by fingerprints within ``DISTANCE``, as above, and by texts whose sets of ``size`` words in a
+    row have a Jaccard similarity of at least ``similarity`` (see ``similar_sets``). Rows are told apart by id and text,
+    so unrelated texts that share an id or have none are each judged by their own.
     """
     columns = docs.columns
     key = _free("__key", columns)
     keyed = docs.withColumn(key, _key())
-    prints = stage(keyed.select(F.col("doc_id").cast("long"), "text", F.col(key).alias("key")).mapInArrow(
-        _fingerprints, "doc_id long, print long, key string"), "prints")
-    # Nulls last; each print gives its first row, then each component.
+    texts = keyed.select(F.col("doc_id").cast("long"), "text", F.col(key).alias("key"))
+    prints = stage(texts.mapInArrow(_sketches(size), "doc_id long, print long, key string, set long, bands array<long>"), "prints")
+    # Nulls last; each set gives its first row, then each component.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    distinct = stage(prints.groupBy("print").agg(first), "distinct")
-    roots = components(links(distinct))
-    named = distinct.join(roots, distinct["print"] == roots["node"], "left")
-    kept = named.groupBy(F.coalesce("root", "print")).agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    sets = stage(prints.groupBy("set").agg(first, F.first("bands").alias("bands")), "sets")
+    # Links between fingerprints become links between the smallest sets that have them.
+    distinct = stage(prints.groupBy("print").agg(F.min("set").alias("set")), "distinct")
+    a, b = (distinct.select(F.col("print").alias(c), F.col("set").alias(f"of_{c}")) for c in "ab")
+    known = links(distinct).join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    same = prints.select("print", F.col("set").alias("a")).distinct().join(distinct.withColumnRenamed("set", "b"), "print")
+    known = stage(known.unionByName(same.where("a != b").select("a", "b")), "known")
+    roots = similar_sets.set_links(
+        sets.select("set", "first.key", "bands"), texts.select("key", "text"), known, components, size, similarity
+    )
+    named = sets.select("set", "first").join(roots, sets["set"] == roots["node"], "left")
+    kept = named.groupBy(F.coalesce("root", "set")).agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
     # Rows of one key have equal texts and with them one component. The key has no nulls, so the window reads the join's exchange.
     rest = keyed.join(kept, key, "left_semi")
     n = _free("__n", columns)
@@ -230,13 +243,29 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for batch in slices(whole, "text", SLICE_BYTES):
             prints = np.array([fingerprint(t) for t in text_bytes(batch.column("text"))], dtype=np.uint64)
-            rest = [c for c in batch.schema.names if c not in ("doc_id", "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints.view(np.int64)), *map(batch.column, rest)],
-                ["doc_id", "print", *rest],
+                [batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"]
             )
 
 
+def _sketches(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", similar_sets.SLICE_BYTES):
+                texts = text_bytes(batch.column("text"))
+                prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
+                sets = similar_sets.shingle_sets(texts, size)
+                ids = np.array([similar_sets.set_id(s) for s in sets], dtype=np.uint64)
+                keys = np.concatenate([similar_sets.band_keys(s) for s in sets]).view(np.int64)
+                bands = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * similar_sets.BANDS, keys)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(prints.view(np.int64)), batch.column("key"), pa.array(ids.view(np.int64)), bands],
+                    ["doc_id", "print", "key", "set", "bands"],
+                )
+
+    return run
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 20_000):

@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_same_rows_as_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "labels"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     result = connection.execute(queries.ORACLES[name])
     columns = sorted(c[0] for c in result.description)

@@ -98,3 +98,58 @@ SELECT d.doc_id, CAST(len(h) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
 """
+
+AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, part, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+f AS (
+  SELECT w.doc_id, part,
+    CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+      + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+      + CASE WHEN first_id < w.doc_id THEN 16 ELSE 0 END AS failed,
+    CASE WHEN quality = 1 THEN 1 ELSE 0 END AS good, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS toxic
+  FROM w LEFT JOIN labels ON labels.doc_id = w.doc_id),
+m AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, failed),
+l(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT l1.c || l2.c || l3.c || l4.c || l5.c AS filter_order, [l1.b, l2.b, l3.b, l4.b, l5.b] AS bits
+  FROM l AS l1, l AS l2, l AS l3, l AS l4, l AS l5 WHERE l1.b | l2.b | l3.b | l4.b | l5.b = 31),
+s AS (
+  SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INTEGER) AS before
+  FROM o, range(1, 6) AS r(step)),
+steps AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (failed & (before | own) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (failed & before = 0 AND failed & own <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (failed & before <> 0 AND failed & own <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (failed = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (failed & before = 0 AND failed & own <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (failed & before = 0 AND failed & own <> 0), 0) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM steps
+"""
+
+MIDDLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+k AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (
+  SELECT *, substring(text, 1, least(c1, c2)) AS p, substring(text, least(c1, c2) + 1, abs(c1 - c2)) AS m,
+    substring(text, greatest(c1, c2) + 1) AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN abs(c1 - c2) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""

@@ -12,8 +12,11 @@ from . import (
     chat,
     decontaminate,
     exact_dedup,
+    fill_in_middle,
+    filter_audit,
     language_id,
     oracles,
+    personal_data,
     pieces,
     quality,
     simhash,
@@ -84,6 +87,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [
+        (F.size(base) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+        for kind in personal_data.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(personal_data.listed(base), 256).alias("base_sha256"),
+        personal_data.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -97,6 +134,9 @@ QUERIES: dict[str, Query] = {
         op8_token_files,
         op9_decontamination,
         op10_simhash,
+        op11_pii,
+        op12_filter_audit,
+        op13_fill_in_middle,
     )
 }
 
@@ -106,4 +146,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": oracles.EXACT,
     "op7_substring_dedup": oracles.WORDS,
     "op9_decontamination": oracles.CONTAMINATION,
+    "op12_filter_audit": oracles.AUDIT,
+    "op13_fill_in_middle": oracles.MIDDLE,
 }

@@ -1,4 +1,4 @@
-"""Substring sweep of a keyword list over any text."""
+"""Substring sweep over any text: of a short keyword list as configuration, or of a keyword table of any size."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pin import pin
+from ..plans.staging import stage
+from .gram_index import candidates
 
-
-#: More keywords than this are a table to join with, not configuration.
+#: More keywords than this are a table to join with (``sweep_table``), not configuration.
 MOST_KEYWORDS = 10_000
 
 
@@ -39,3 +40,24 @@ def keyword_sweep(docs: DataFrame, keywords: Sequence[str], key: str, text: str
         )
     )
     return lowered.select(key, F.explode(found).alias("k")).select(key, "k.ord", "k.keyword")
+
+
+def sweep_table(docs: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The rows of :func:`keyword_sweep` for a keyword table ``(ord, keyword)`` of any size.
+
+    Lower-cased texts are staged once. An index on the rarest letters of each keyword proposes pairs (see
+    ``gram_index``), and ``contains`` decides them. A null text counts as empty, a null keyword is left out. Rows of
+    ``docs`` and of ``keywords`` that repeat, or that share a key, each give rows of their own.
+    """
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("id"),
+        F.col(key).alias("_key"),
+        F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"),
+    )
+    rows = stage(rows, "sweep-texts")
+    listed = stage(keywords.where(F.col("keyword").isNotNull()).select("ord", "keyword"), "sweep-keywords")
+    literals = listed.select(F.col("keyword").alias("entry"), F.lit("").alias("space"), F.col("keyword").alias("part"))
+    pairs = candidates(rows.select("id", F.lit("").alias("space"), "text"), literals.distinct())
+    met = rows.join(pairs, "id").where(F.contains(F.col("text"), F.col("entry")))
+    found = met.select(F.col("_key").alias(key), "entry").join(listed, F.col("entry") == F.col("keyword"))
+    return found.select(key, "ord", "keyword")

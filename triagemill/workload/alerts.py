@@ -8,7 +8,7 @@ from ..functions import fixed_values as V
 from ..operators import enrich as enrich_ops
 from ..operators import indicators as ind
 from ..operators import retrieve
-from ..operators.keywords import keyword_sweep, load_keywords
+from ..operators.keywords import keyword_sweep, load_keywords, sweep_table
 from ..plans import alert_triage
 from ..plans.staging import new_path, stage
 from ..sources import bundled, sinks
@@ -242,6 +242,15 @@ def keyword_hits(spark, sf_dir):
     )
 
 
+def keyword_table(spark, sf_dir):
+    """Thousands of keywords, the insides of all long words, kept as a table and searched in every document."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    inside = F.expr("substring(w, 3, least(length(w) - 8, 7))")
+    listed = words.where("length(w) >= 11").select(inside.alias("keyword")).distinct()
+    return sweep_table(docs, listed.withColumn("ord", F.col("keyword")), "doc_id").select("doc_id", "keyword")
+
+
 QUERIES = {
     "alert_scan": alert_scan,
     "refang": refang,
@@ -273,6 +282,7 @@ QUERIES = {
     "alert_report_json": alert_report_json,
     "keyword_list": keyword_list,
     "keyword_sweep": keyword_hits,
+    "keyword_table": keyword_table,
 }
 
 REFANGED_SQL = f"""{ALERTS_SQL},
@@ -572,4 +582,8 @@ WHERE rank <= 3""",
     "keyword_list": r"""SELECT regexp_replace(lower(line), '^\s+|\s+$', '', 'g') AS keyword, count(*) AS n
 FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1""",
     "keyword_sweep": _sweep_sql(),
+    "keyword_table": r"""WITH words AS (
+  SELECT unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS w FROM documents),
+keywords AS (SELECT DISTINCT substring(w, 3, least(length(w) - 8, 7)) AS keyword FROM words WHERE length(w) >= 11)
+SELECT doc_id, keyword FROM documents, keywords WHERE contains(lower(text), keyword)""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import baseline as base_ops
 from ..operators import match
 from ..operators.match import Rule
+from ..operators.rule_index import evaluate_table
 from ..plans import process_hunt
 from ..plans.staging import new_path
 from ..sources import tables as readers
@@ -163,6 +164,33 @@ def rule_file(spark, sf_dir):
     return _finding_columns(match.evaluate(_clean(spark, sf_dir), readers.load_rules(readers.read_rules(spark, path))))
 
 
+def rule_table(spark, sf_dir):
+    """Thousands of rules, made from all long words, as a table; every document is a command line, its source a path."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{13,}"), F.lit(0))).alias("w")).distinct()
+    n = F.length("w")
+    pattern = (
+        F.when(n % 4 == 0, F.concat(F.lit("(^|[ \n])"), "w"))
+        .when(n % 4 == 1, F.concat(F.substring("w", 1, 5), F.lit(".?"), F.expr("substring(w, 7)")))
+        .when(n % 4 == 2, F.concat(F.lit("("), F.substring("w", 1, 7), F.lit("|"), F.substring("w", 3, 7), F.lit(")[a-z]*")))
+        .otherwise(F.concat(F.substring("w", 2, 7), F.lit("[^a-z]+[a-d]")))
+    )
+    rules = words.select(
+        F.monotonically_increasing_id().alias("ord"),
+        F.concat(F.lit("word-"), "w").alias("id"),
+        pattern.alias("pattern"),
+        F.when(n % 2 == 0, F.array(F.lit("exe"), F.lit("cmdline"))).otherwise(F.array(F.lit("cmdline"))).alias("match_fields"),
+        F.when(n > 14, "HIGH").otherwise("low").alias("severity"),
+        F.lit("Impact").alias("mitre_tactic"),
+        F.lit("T1").alias("mitre_technique"),
+        F.lit(None).cast("string").alias("description"),
+    )
+    texts = docs.select(
+        F.col("doc_id").alias("seq"), F.lit("").alias("name"), F.col("source").alias("exe"), F.array("text").alias("cmdline")
+    )
+    return _finding_columns(evaluate_table(texts, rules))
+
+
 def rule_violations(spark, sf_dir):
     p = F.col("p_partkey")
     fields = (
@@ -230,6 +258,7 @@ QUERIES = {
     "process_report": process_report,
     "process_documents": process_documents,
     "rule_file": rule_file,
+    "rule_table": rule_table,
     "rule_violations": rule_violations,
     "watch_findings": watch_findings,
     "watch_new": watch_new,
@@ -362,6 +391,21 @@ FROM processes""",
     "process_report": _with(_REPORT, _REPORT_LINES),
     "process_documents": _with(_REPORT, _REPORT_CONTENT),
     "rule_file": _with(_WORDS, f"SELECT {_COLUMNS} FROM hits"),
+    "rule_table": r"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{13,}')) AS w FROM documents),
+rules AS (
+  SELECT w, length(w) AS n, '(?i)' || CASE length(w) % 4 WHEN 0 THEN '(^|[ \n])' || w
+    WHEN 1 THEN substring(w, 1, 5) || '.?' || substring(w, 7)
+    WHEN 2 THEN '(' || substring(w, 1, 7) || '|' || substring(w, 3, 7) || ')[a-z]*'
+    ELSE substring(w, 2, 7) || '[^a-z]+[a-d]' END AS pattern FROM words),
+hits AS (
+  SELECT doc_id, w, n, 'exe' AS field, regexp_extract(source, pattern, 0) AS found FROM documents, rules
+  WHERE n % 2 = 0 AND source <> '' AND regexp_matches(source, pattern)
+  UNION ALL SELECT doc_id, w, n, 'text', regexp_extract(text, pattern, 0) FROM documents, rules
+  WHERE text <> '' AND regexp_matches(text, pattern))
+SELECT doc_id AS seq, 'word-' || w AS rule_id, CASE WHEN n > 14 THEN 'high' ELSE 'low' END AS severity,
+  'Impact' AS mitre_tactic, 'T1' AS mitre_technique, '' AS description,
+  CASE field WHEN 'text' THEN 'cmdline' ELSE 'exe' END AS matched_field, found AS matched_text
+FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, w ORDER BY field) = 1""",
     "rule_violations": _with(
         _RULES_SQL,
         """SELECT ord AS rule_ord, id AS rule_id, 'missing keys: ' || missing AS violation FROM gaps WHERE missing <> ''

@@ -6,10 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from triagemill.operators import bloom
+from triagemill.operators import bloom, enrich, networks
 from triagemill.operators.keywords import sweep_table
 from triagemill.operators.match import Rule, evaluate
 from triagemill.operators.rule_index import evaluate_table, required
+from triagemill.sources import text
 from triagemill.sources.tables import RULE_SCHEMA
 
 LETTERS = "abcdefgh é🙂"
@@ -130,3 +131,82 @@ def test_the_plan_does_not_grow_with_the_rules(spark):
 
     small, large = plan_and_rows(10), plan_and_rows(5000)
     assert small[0] == large[0] and large[1] >= small[1]
+
+
+# --- feeds, networks, line numbers ---------------------------------------------------------------------------------
+
+
+def indicators(spark, n):
+    rows = [(i, "ipv4", f"10.0.{i % 200}.{i % 50}", f"10.0.{i % 200}.{i % 50}") for i in range(n)]
+    rows += [(-1, "domain", "A.example", "a.example"), (-2, "md5", None, None), (None, None, "x", "x"), (-1, "domain", "A.example", "a.example")]
+    return spark.createDataFrame(rows, "alert_id long, category string, value string, value_lc string")
+
+
+def test_large_feed_gives_the_rows_of_the_plain_join(spark):
+    found = indicators(spark, 3000)
+    entries = [("ipv4", f"10.0.{i}.{i % 50}", "high", "f", None if i % 3 else "n") for i in range(0, 200, 20)]
+    entries += [("domain", "a.example", None, None, None)] + [("url", f"http://{i}", "low", "g", "") for i in range(20_000)]
+    feed = spark.createDataFrame(entries, "category string, value_lc string, confidence string, source string, notes string")
+    got, expected = enrich.enrich_from_large_feed(found, feed), enrich.enrich(found, feed)
+    assert got.columns == expected.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+    hits = expected.where("is_known_malicious").count()
+    maybe, rest = enrich.maybe_known(found, *enrich.feed_filter(feed))
+    # Only hits and few others would be shuffled.
+    assert 0 < hits <= maybe.count() <= hits + 0.2 * found.count() and maybe.count() + rest.count() == found.count()
+    none = feed.limit(0)
+    assert enrich.enrich_from_large_feed(found, none).where("is_known_malicious").count() == 0
+
+
+def test_most_specific_of_a_hundred_thousand_networks(spark):
+    r = random.Random(7)
+    tables = {b: {} for b in range(33)}
+    rows = []
+    for i in range(100_000):
+        bits = r.choice([0, 8, 12, 16, 20, 24, 28, 31, 32]) if i else 0
+        first = r.getrandbits(32) >> (32 - bits) << (32 - bits)
+        rows.append((".".join(str(first >> s & 255) for s in (24, 16, 8, 0)) + f"/{bits}", i))
+    rows += [("10.1.2.3", 200_000), ("300.1.1.1/8", -1), ("1.2.3/8", -2), ("1.2.3.4/33", -3), (None, -4), ("x", -5)]
+    for network, owner in rows[:-5]:
+        base, _, bits = network.partition("/")
+        bits = int(bits or 32)
+        number = sum(int(o) << s for o, s in zip(base.split("."), (24, 16, 8, 0)))
+        held = tables[bits].setdefault(number >> (32 - bits), (network, owner))
+        tables[bits][number >> (32 - bits)] = min(held, (network, owner))
+    asked = [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(500)]
+    asked += [n.partition("/")[0] for n, _ in r.sample(rows[:-5], 500)] + ["10.1.2.3", "10.1.2.3"]
+
+    def best(address):
+        number = sum(int(o) << s for o, s in zip(address.split("."), (24, 16, 8, 0)))
+        return next((tables[b][number >> (32 - b)] for b in range(32, -1, -1) if number >> (32 - b) in tables[b]), (None, None))
+
+    addresses = spark.createDataFrame([(a,) for a in asked] + [(None,), ("1.2.3",), ("a.b.c.d",)], "address string")
+    found = networks.most_specific(addresses, spark.createDataFrame(rows, "network string, owner long"))
+    expected = [(a, *best(a)) for a in asked] + [(None, None, None), ("1.2.3", None, None), ("a.b.c.d", None, None)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    empty = networks.most_specific(addresses, spark.createDataFrame([], "network string, owner long"))
+    assert {x.owner for x in empty.collect()} == {None} and empty.count() == len(expected)
+
+
+@pytest.mark.parametrize("most_splits", [500_000, 0])
+def test_line_numbers_of_files_in_many_splits(spark, tmp_path, monkeypatch, most_splits):
+    monkeypatch.setattr(text, "MOST_SPLITS", most_splits)
+    r = random.Random(8)
+    expected = []
+    for name, n in (("a.log", 3000), ("b.log", 1), ("c.log", 0), ("d.log", 5000)):
+        texts = ["" if r.random() < 0.1 else "x" * r.randint(1, 60) + str(i) for i in range(n)]
+        (tmp_path / name).write_text("".join(t + "\n" for t in texts))
+        expected += [(name, i, t) for i, t in enumerate(texts)]
+    words = tmp_path / "k"
+    words.mkdir()
+    (words / "words.txt").write_text(" Nmap\n\ncmd.exe \n" * 3000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert spark.read.text(str(tmp_path / "*.log")).rdd.getNumPartitions() > 20
+        found = text.read_numbered(spark, str(tmp_path / "*.log")).collect()
+        keywords = text.read_numbered_keywords(spark, str(words)).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((x.source_file.rpartition("/")[2], x.seq, x.value) for x in found) == sorted(expected)
+    assert [(w.ord, w.keyword) for w in keywords] == list(enumerate(["nmap", "", "cmd.exe"] * 3000))

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 #: Longs of the bit array: 1 MB, which holds a million keys with four false positives in a hundred.
 WORDS = 1 << 17
+#: The largest array, 16 MB. It holds 16 million keys as well; beyond, more keys pass that are not there, and none is lost.
+MOST_WORDS = 1 << 21
+
+
+def words_for(keys: int) -> int:
+    """Longs for so many keys: eight bits or more for each, within the bounds."""
+    return min(MOST_WORDS, max(1 << 10, 1 << (keys // 8).bit_length()))
 
 
 def _places(key: Column, words: int) -> list[Column]:

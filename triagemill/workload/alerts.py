@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..operators import enrich as enrich_ops
 from ..operators import indicators as ind
+from ..operators import networks as networks_ops
 from ..operators import retrieve
 from ..operators.keywords import keyword_sweep, load_keywords, sweep_table
 from ..plans import alert_triage
@@ -75,6 +76,30 @@ def intel_enrich(spark, sf_dir):
     return _enriched(spark, sf_dir).drop("value_lc")
 
 
+def intel_enrich_large_feed(spark, sf_dir):
+    """The same with the feed behind a Bloom filter of its keys."""
+    found = ind.extract_indicators(alerts(spark, sf_dir), context=False)
+    return enrich_ops.enrich_from_large_feed(found, _feed(spark, sf_dir)).drop("value_lc")
+
+
+def network_match(spark, sf_dir):
+    """The most specific of a network per order for an address per event."""
+    n, k = F.col("event_id"), F.col("o_orderkey")
+
+    def address(number):
+        return F.concat_ws(".", *(F.floor(number / 256**i) % 256 for i in (3, 2, 1, 0)))
+
+    bits = k % 27 + 6
+    base = (k * 2654435761 + F.col("o_custkey") * 40503) % 4294967296
+    network = F.concat(address(base - base % F.expr("shiftleft(1L, cast(32 - (o_orderkey % 27 + 6) as int))")), F.lit("/"), bits)
+    networks = table(spark, sf_dir, "orders").select(network.alias("network"), k.alias("owner"))
+    # Every second address lies near one of the networks of its number.
+    far = (n * 2246822519 + F.col("user_id")) % 4294967296
+    near = (n * 2654435761 + F.col("user_id") * 40503) % 4294967296
+    events = table(spark, sf_dir, "events").select("event_id", address(F.when(n % 2 == 0, near).otherwise(far)).alias("address"))
+    return networks_ops.most_specific(events, networks)
+
+
 def known_malicious(spark, sf_dir):
     hits = enrich_ops.known_malicious(_enriched(spark, sf_dir))
     return hits.groupBy("category", "value_lc").agg(F.count("*").alias("alerts"))
@@ -260,6 +285,8 @@ QUERIES = {
     "ioc_sorted": ioc_sorted,
     "intel_feed_last_wins": intel_feed_last_wins,
     "intel_enrich": intel_enrich,
+    "intel_enrich_large_feed": intel_enrich_large_feed,
+    "network_match": network_match,
     "known_malicious": known_malicious,
     "private_ip_note": private_ip_note,
     "technique_corpus": technique_corpus,
@@ -521,6 +548,25 @@ FROM alerts a LEFT JOIN indicators i ON i.alert_id = a.alert_id GROUP BY 1""",
     "intel_enrich": _with(
         ENRICHED_SQL, "SELECT alert_id, category, value, is_known_malicious, confidence, source, notes FROM enriched"
     ),
+    "intel_enrich_large_feed": _with(
+        ENRICHED_SQL, "SELECT alert_id, category, value, is_known_malicious, confidence, source, notes FROM enriched"
+    ),
+    "network_match": """WITH bases AS (
+  SELECT o_orderkey AS owner, o_orderkey % 27 + 6 AS bits, (o_orderkey * 2654435761 + o_custkey * 40503) % 4294967296 AS base,
+    CAST(pow(2, 32 - (o_orderkey % 27 + 6)) AS BIGINT) AS size FROM orders),
+networks AS (SELECT owner, bits, base - base % size AS first, base - base % size + size - 1 AS last FROM bases),
+named AS (
+  SELECT *, (first // 16777216) || '.' || (first // 65536 % 256) || '.' || (first // 256 % 256) || '.' || (first % 256)
+    || '/' || bits AS network FROM networks),
+addressed AS (
+  SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (event_id * 2654435761 + user_id * 40503) % 4294967296
+    ELSE (event_id * 2246822519 + user_id) % 4294967296 END AS number FROM events),
+found AS (
+  SELECT event_id, network, owner FROM addressed JOIN named ON number BETWEEN first AND last
+  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY bits DESC, network, owner) = 1)
+SELECT a.event_id, (number // 16777216) || '.' || (number // 65536 % 256) || '.' || (number // 256 % 256) || '.'
+  || (number % 256) AS address, network, owner
+FROM addressed a LEFT JOIN found f ON f.event_id = a.event_id""",
     "known_malicious": _with(
         ENRICHED_SQL,
         "SELECT category, value_lc, count(*) AS alerts FROM enriched WHERE is_known_malicious GROUP BY 1, 2",

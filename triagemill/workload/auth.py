@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import detect, parse, score
 from ..plans import auth_triage
 from ..plans.staging import new_path
-from ..sources.text import read_syslog
+from ..sources.sinks import in_order
+from ..sources.text import read_numbered, read_syslog
 from .tables import AUTH_LINES_SQL, auth_lines
 
 AS_OF = datetime(2024, 1, 1, 1, 30)
@@ -38,6 +39,15 @@ def syslog_scan(spark, sf_dir):
     return events.select(name.alias("source_file"), _text("ts"), "kind", "raw")
 
 
+def line_numbers(spark, sf_dir):
+    """Every line with its number in its log. A log is a folder of files, which many tasks write in the order of ``seq``."""
+    path = new_path(spark, "numbered")
+    lines = auth_lines(spark, sf_dir).select(F.col("source_file").alias("log"), "seq", "value")
+    in_order(lines, ("log", "seq")).select("log", "value").write.partitionBy("log").text(path)
+    name = F.regexp_extract("source_file", "/log=([^/]+)$", 1)
+    return read_numbered(spark, path, folders=True).select(name.alias("source_file"), "seq", "value")
+
+
 def line_shape(spark, sf_dir):
     return _events(spark, sf_dir).select("source_file", "seq", "host", "process", _long("pid"), "message")
 
@@ -158,6 +168,7 @@ def incident_report_json(spark, sf_dir):
 
 QUERIES = {
     "syslog_scan": syslog_scan,
+    "line_numbers": line_numbers,
     "line_shape": line_shape,
     "timestamp_resolve": timestamp_resolve,
     "year_rollback": year_rollback,
@@ -380,6 +391,10 @@ def _with(ctes: str, select: str) -> str:
 
 ORACLES = {
     "syslog_scan": _with(EVENTS_SQL, f"SELECT source_file, {_TS}, kind, raw FROM parsed"),
+    "line_numbers": _with(
+        AUTH_LINES_SQL,
+        "SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY seq) - 1 AS seq, value FROM lines",
+    ),
     "line_shape": _with(EVENTS_SQL, "SELECT source_file, seq, host, process, pid, message FROM parsed"),
     "timestamp_resolve": _with(EVENTS_SQL, f"SELECT seq, {_TS} FROM parsed"),
     "year_rollback": _with(EVENTS_SQL, _ROLLBACK),

@@ -12,6 +12,7 @@ from ..operators.match import Rule
 from ..operators.rule_index import evaluate_table
 from ..plans import process_hunt
 from ..plans.staging import new_path
+from ..sources import baseline_store
 from ..sources import tables as readers
 from ..sources.sinks import in_order
 from ..sources.bundled import DEFAULT_RULES
@@ -84,6 +85,42 @@ def baseline_switch(spark, sf_dir):
     return process_hunt.scan_with_baseline(spark, rows, path).new.select("host", "seq", "fingerprint")
 
 
+def _two_versions(spark, sf_dir):
+    """A store with a version for the first hour and one that has both."""
+    path, rows = new_path(spark, "store"), processes(spark, sf_dir)
+    for hour in (0, 1):
+        baseline_store.update(spark, path, rows.where(F.hour("snapshot_ts") == hour), ["host"])
+    return path
+
+
+def baseline_versions(spark, sf_dir):
+    """Every process against each version of a baseline that grew with the hours."""
+    path = _two_versions(spark, sf_dir)
+    new = [
+        base_ops.new_processes(_clean(spark, sf_dir), baseline_store.read(spark, path, ["host"], version=v), ["host"])
+        .select(F.lit(v).cast("bigint").alias("version"), "host", "seq", "fingerprint")
+        for v in (1, 2)
+    ]
+    return new[0].unionByName(new[1])
+
+
+def baseline_history(spark, sf_dir):
+    """First and last time of each fingerprint after two updates."""
+    history = baseline_store.read(spark, _two_versions(spark, sf_dir), ["host"])
+    return history.select("host", "fingerprint", *(F.col(c).cast("string").alias(c) for c in ("first_seen", "last_seen")))
+
+
+def watch_live_baseline(spark, sf_dir):
+    """A watch that learns: the second hour arrives after the first one has become the baseline."""
+    folder, store, out, progress = (new_path(spark, name) for name in ("arriving", "store", "found", "progress"))
+    rows = processes(spark, sf_dir)
+    for hour in (0, 1):
+        rows.where(F.hour("snapshot_ts") == hour).write.mode("append").parquet(folder)
+        stream = watch.snapshot_stream(spark, folder)
+        watch.start_against_store(stream, store, out, progress, learn=True).awaitTermination()
+    return watch.found_new(spark, out).select(F.col("batch").cast("bigint").alias("batch"), "host", "seq", "fingerprint")
+
+
 def _finding_columns(findings):
     return findings.select("seq", "rule_id", "severity", "mitre_tactic", "mitre_technique", "description",
                            "matched_field", "matched_text")
@@ -248,6 +285,8 @@ QUERIES = {
     "baseline_new": baseline_new,
     "baseline_new_by_host": baseline_new_by_host,
     "baseline_switch": baseline_switch,
+    "baseline_versions": baseline_versions,
+    "baseline_history": baseline_history,
     "rule_match_first_field": rule_match_first_field,
     "rule_evaluate": rule_evaluate,
     "default_rules_on_texts": default_rules_on_texts,
@@ -262,6 +301,7 @@ QUERIES = {
     "rule_violations": rule_violations,
     "watch_findings": watch_findings,
     "watch_new": watch_new,
+    "watch_live_baseline": watch_live_baseline,
 }
 
 _RANKS = {"low": 0, "medium": 1, "high": 2, "critical": 3}
@@ -381,6 +421,17 @@ FROM processes""",
     "baseline_new": _with(PROCESSES_SQL, _NEW.format("seq % 3 = 0")),
     "baseline_new_by_host": _with(PROCESSES_SQL, _NEW.format("seq % 3 = 0 AND host = p.host")),
     "baseline_switch": _with(PROCESSES_SQL, _NEW.format("seq % 2 = 0")),
+    "baseline_versions": _with(
+        PROCESSES_SQL,
+        """SELECT 1 AS version, host, seq, name || ':' || exe AS fingerprint FROM processes p
+WHERE name || ':' || exe NOT IN (SELECT name || ':' || exe FROM processes WHERE seq % 2 = 0 AND host = p.host)
+UNION ALL SELECT 2, host, seq, name || ':' || exe FROM processes WHERE false""",
+    ),
+    "baseline_history": _with(
+        PROCESSES_SQL,
+        """SELECT host, name || ':' || exe AS fingerprint, CAST(min(snapshot_ts) AS VARCHAR) AS first_seen,
+  CAST(max(snapshot_ts) AS VARCHAR) AS last_seen FROM processes GROUP BY 1, 2""",
+    ),
     "rule_match_first_field": _with(_WORDS, f"SELECT {_COLUMNS} FROM hits"),
     "rule_evaluate": _with(_DEFAULT, f"SELECT {_COLUMNS} FROM hits"),
     "default_rules_on_texts": _with(_TEXTS, f"SELECT {_COLUMNS} FROM hits"),
@@ -417,4 +468,8 @@ UNION ALL SELECT min(ord), id, 'duplicate id' FROM rules WHERE id IS NOT NULL GR
     ),
     "watch_findings": _with(_DEFAULT, f"SELECT {_COLUMNS} FROM hits"),
     "watch_new": _with(PROCESSES_SQL, _NEW.format("seq % 3 = 0")),
+    "watch_live_baseline": _with(
+        PROCESSES_SQL,
+        "SELECT seq % 2 AS batch, * FROM (" + _NEW.format("seq % 2 = 0 AND p.seq % 2 = 1") + ")",
+    ),
 }

@@ -1,6 +1,9 @@
 """Every registered query on the smallest tables: the answer of its SQL, and a plan without joins of everything."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -8,6 +11,7 @@ import pytest
 import __spark_entry__ as registered
 from triagemill.workload import registry
 
+REPO = Path(__file__).resolve().parents[1]
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -54,6 +58,15 @@ def test_entry(spark):
     assert registered.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("missing", ["triagemill.llm", "corpus_pipeline", "sentencepiece", "zstandard", "xxhash"])
+def test_without_the_corpus_operators_or_what_they_import(missing):
+    code = (
+        f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; "
+        "assert len(e.queries()) > 80 and set(e.oracle_sql()) == set(e.queries()) and 'pipeline' not in e.queries()"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=str(REPO), timeout=100)
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) == set(SQL)

@@ -7,11 +7,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..operators import detect, parse, score
 from ..plans import auth_triage
 from ..plans.staging import new_path
 from ..sources.sinks import in_order
 from ..sources.text import read_numbered, read_syslog
+from ..streaming import brute_force, watch
 from .tables import AUTH_LINES_SQL, auth_lines
 
 AS_OF = datetime(2024, 1, 1, 1, 30)
@@ -85,6 +87,25 @@ def brute_force_window(spark, sf_dir):
     )
 
 
+def watch_brute_force(spark, sf_dir):
+    """The detector on a stream: events arrive in two parts, the stream is started again for the second one.
+
+    An event of the next year ends the second part, so that the watermark passes all others.
+    """
+    folder, out, progress = (new_path(spark, name) for name in ("arriving", "found", "progress"))
+    events = _events(spark, sf_dir).select("source_file", "seq", "ts", "kind", "fields")
+    noon = F.lit("2024-01-01 01:30:00").cast("timestamp_ntz")
+    end = events.limit(1).withColumn("ts", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")).withColumn("kind", F.lit(V.KIND_FAILED))
+    end = end.withColumn("source_file", F.lit("end"))
+    for part in (events.where(F.col("ts") < noon), events.where(F.col("ts") >= noon).unionByName(end)):
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        watch.start(brute_force.watch_brute_force(stream), out, progress).awaitTermination()
+    return spark.read.parquet(out).select(
+        "source_file", "ip", _text("first_ts"), _text("last_ts"), F.array_join("users", ",").alias("users")
+    )
+
+
 def brute_force_hour(spark, sf_dir):
     """The same with another window and threshold."""
     return detect.brute_force_clusters(_events(spark, sf_dir), window_seconds=3600, threshold=9).select(
@@ -183,6 +204,7 @@ QUERIES = {
     "crontab_replace": _of_kind("crontab_replace", "fields.user", "fields.action"),
     "event_kinds": event_kinds,
     "brute_force_window": brute_force_window,
+    "watch_brute_force": watch_brute_force,
     "brute_force_hour": brute_force_hour,
     "compromise_lookback": compromise_lookback,
     "near_prior_finding": near_prior_finding,
@@ -405,6 +427,7 @@ ORACLES = {
     "crontab_replace": _with(EVENTS_SQL, 'SELECT seq, usr AS "user", action FROM crontab'),
     "event_kinds": _with(EVENTS_SQL, "SELECT source_file, kind, count(*) AS events FROM parsed GROUP BY 1, 2"),
     "brute_force_window": _with(EVENTS_SQL + "," + _clusters_sql(60, 5), _CLUSTERS),
+    "watch_brute_force": _with(EVENTS_SQL + "," + _clusters_sql(60, 5), _CLUSTERS),
     "brute_force_hour": _with(EVENTS_SQL + "," + _clusters_sql(3600, 9), _CLUSTERS),
     "compromise_lookback": _with(
         EVENTS_SQL + "," + COMPROMISED_SQL,

@@ -15,8 +15,8 @@ same exchange again.
 4. A bucket compares the windows of its pieces by their contents and returns spans to the pages.
 5. Each page cuts its documents.
 
-Hashes only choose anchors and filter; what is removed was compared by content (within a page by a 64-bit hash of the
-stretch and its length). Steps 2 to 4 are exact for every window whatever the texts are: nothing is sampled or capped.
+Hashes only choose anchors and filter; what is removed was compared byte by byte. Steps 2 to 4 are exact for every window
+whatever the texts are: nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, slices, text_bytes
-from .word_hashes import hashes, mixed
+from .word_hashes import mixed
 
 PAGE_BYTES = 1 << 19
 #: Units handled at once; a longer document is handled in overlapping parts.
@@ -80,6 +80,7 @@ class Bucket:
     content: np.ndarray
     edge: np.ndarray  # bytes before each piece
     counts: np.ndarray  # windows of each piece
+    anchors: np.ndarray  # bytes of each piece before its anchor
 
 
 def least_hash(grams: np.ndarray, width: int) -> np.ndarray:
@@ -274,14 +275,17 @@ def _dealt(page: int, gram: np.ndarray, bucket: np.ndarray) -> Iterator[pa.Recor
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of each bucket; they come sorted by it."""
+    """Rows of each bucket; they come sorted by it. Of a batch only the rows of one bucket become Python values at once."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
+        bucket = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts, cuts[1:]):
+            rows = batch.slice(a, b - a).to_pylist()
+            if held and rows and held[0]["bucket"] != rows[0]["bucket"]:
                 yield held
                 held = []
-            held.append(row)
+            held += rows
     if held:
         yield held
 
@@ -344,23 +348,23 @@ def _part_pieces(page: Page, method: Method, shared: np.ndarray, n: int, held, u
         "count": count,
         "anchor": units.starts[anchor] - start,
         "bucket": method.bucket(units, anchor, n),
-        "hash": hashes(units.buffer, start, stop) ^ mixed((stop - start).astype(np.uint64)),
-        "text": [units.buffer[a:b] for a, b in zip(start.tolist(), stop.tolist())],
+        "text": [units.buffer[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist())],
     }
 
 
 def _sent(page: Page, method: Method, parts: list[dict]) -> Iterator[pa.RecordBatch]:
     """Rows of pieces by bucket, and one row of the spans that are repeats within the page."""
-    place, first, count, anchor, bucket, key = (
-        np.concatenate([p[c] for p in parts]) for c in ("place", "first", "count", "anchor", "bucket", "hash")
+    place, first, count, anchor, bucket = (
+        np.concatenate([p[c] for p in parts]) for c in ("place", "first", "count", "anchor", "bucket")
     )
     texts = [t for p in parts for t in p["text"]]
     ids = page.doc_ids[place]
-    order = np.argsort(key, kind="stable")
-    starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    least = np.empty(len(key), dtype=np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.r_[starts, len(key)]))
-    local = ids > least
+    # Equal stretches by their bytes.
+    numbers: dict[bytes, int] = {}
+    group = np.fromiter((numbers.setdefault(t, len(numbers)) for t in texts), np.int64, len(texts))
+    least = np.full(len(numbers), LAST)
+    np.minimum.at(least, group, ids)
+    local = ids > least[group]
     rows = []
     if local.any():
         spans = np.stack([place[local], first[local], first[local] + count[local] + method.window - 1], axis=1)
@@ -378,7 +382,7 @@ def _sent(page: Page, method: Method, parts: list[dict]) -> Iterator[pa.RecordBa
                 int(bucket[part[0]]),
                 *(a.astype("<i8").tobytes() for a in arrays),
                 *(a.astype("<i4").tobytes() for a in small),
-                pack.compress(np.concatenate(content).tobytes()),
+                pack.compress(b"".join(content)),
                 None,
             )
         )
@@ -433,8 +437,9 @@ def _bucket_spans(method: Method, rows: list[dict]) -> list[tuple[int, bytes]]:
             continue
         sizes, counts = read["sizes"][own], read["counts"][own]
         own_edge = np.r_[0, np.cumsum(sizes)]
-        take = np.repeat(edge[own] - own_edge[:-1], sizes) + np.arange(own_edge[-1])
-        group = method.groups(Bucket(method.window, content[take], own_edge, counts))
+        take = np.repeat(edge[own] - own_edge[:-1], sizes)
+        take += np.arange(own_edge[-1])
+        group = method.groups(Bucket(method.window, content[take], own_edge, counts, read["anchors"][own]))
         ids = np.repeat(read["doc_ids"][own], counts)
         least = np.full(int(group.max()) + 1, LAST)
         np.minimum.at(least, group, ids)

@@ -1,12 +1,14 @@
 """Substring dedup by seed and extend: words covered by a window of ``WINDOW`` words that a smaller document has too.
 
-Seeds are winnowed anchors of ``SEED`` words (see ``repeats``); documents are joined on the hashes of their seeds. Each
-seed is extended both ways by the words that its windows cover, which its bucket compares window by window; neighbouring
-windows that repeat merge into maximal repeats, of which those of at least ``WINDOW`` words go.
+Seeds are winnowed anchors of ``SEED`` words (see ``repeats``); documents are joined on the hashes of their seeds. In its
+bucket each seed is verified and then extended word by word, to the left and to the right, for all documents at once: a
+rank tells which of them agree so far, and one that agrees with no other any longer goes no further. A window repeats if
+one of a smaller document agrees with it as far to the left and as far to the right as it reaches. Neighbouring windows
+that repeat merge into maximal repeats, of which those of at least ``WINDOW`` words go.
 
 Defined results: words are runs of ``[^\\x20\\x09-\\x0D]``, unchanged; a null text has none. A null ``doc_id`` counts as
 larger than any other, and rows that repeat an id never remove each other's words. Other columns are not read. An empty
-table gives no rows. Windows are equal if 128 bits of two hashes of their words, each with its blank, are equal.
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,24 +45,46 @@ def seed_bucket(units: Units, anchors: np.ndarray, n: int) -> np.ndarray:
 
 
 def word_groups(bucket: Bucket) -> np.ndarray:
-    """Groups of the windows of a bucket by two hashes of their bytes."""
+    """Groups of the windows of a bucket: by how many words stand before the seed, and how far both sides agree."""
+    numbers: dict[bytes, int] = {}
+    split = bucket.content.tobytes().split()
+    words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in split), np.int64, len(split))
+    starts, _ = runs(~WHITE[bucket.content])
+    first = np.searchsorted(starts, bucket.edge)
+    seed = np.searchsorted(starts, bucket.edge[:-1] + bucket.anchors)
+    agree = np.zeros(len(seed), np.int64)
+    for i in range(SEED):
+        agree = _extended(agree, words, seed + i, seed + i < first[1:])
+    left, right = [agree], [agree]
+    reach = bucket.window - SEED
+    for i in range(1, reach + 1):
+        left.append(_extended(left[-1], words, seed - i, seed - i >= first[:-1]))
+        right.append(_extended(right[-1], words, seed + SEED - 1 + i, seed + SEED - 1 + i < first[1:]))
+    # Windows of piece p start at its first words; the seed stands ``before`` words behind the start.
     counts = bucket.counts
-    starts, stops = runs(~WHITE[bucket.content])
-    before = np.searchsorted(starts, bucket.edge[:-1])
-    nth = np.repeat(before - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    first, last = starts[nth], stops[nth + bucket.window - 1]
-    one = hashes(bucket.content, first, last)
-    # The second hash reads each byte together with its successor and the length.
-    pairs = bucket.content ^ np.r_[bucket.content[1:], np.uint8(32)] // np.uint8(2) ^ np.uint8(85)
-    two = hashes(pairs, first, last - 1) ^ mixed((last - first).astype(np.uint64))
+    piece = np.repeat(np.arange(len(counts)), counts)
+    before = np.repeat(seed - first[:-1], counts) - (np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts))
+    both = np.stack([np.stack(left)[before, piece], np.stack(right)[reach - before, piece], before])
+    return _ranks(both[0] * (reach + 1) + both[2], both[1])
+
+
+def _ranks(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The rank of each pair among the distinct ones."""
     order = np.lexsort((two, one))
-    border = np.ones(len(order), dtype=bool)
+    border = np.zeros(len(order), dtype=np.int64)
     border[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
     rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.cumsum(border) - 1
+    rank[order] = np.cumsum(border)
     return rank
 
 
+def _extended(agree: np.ndarray, words: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Ranks after one more word. A piece without that word, or that agreed with no other before, stands alone."""
+    alone = ~there | (np.bincount(agree)[agree] == 1)
+    next_word = np.where(alone, -1 - np.arange(len(at)), words[np.where(there, at, 0)])
+    return _ranks(agree, next_word)
+
+
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for each row of ``docs``; ``kept`` is words joined by one blank."""
     if window <= SEED:

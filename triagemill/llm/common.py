@@ -8,7 +8,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ``[\x20\x09-\x0D]``, as Java's regular expressions write it.
 WHITE = r"[\x20\x09-\x0D]"
@@ -48,3 +49,16 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
 
 def int64_array(values) -> pa.Array:
     return pa.array(values, pa.int64())
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many lines behind it as it takes to differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row; maps, which Spark does not hash, by what they print as."""
+    return F.xxhash64(*(F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .common import WHITE, partitions
+from .common import WHITE, free_name, partitions, row_hash
 
 SLOTS = 4
 MOVES = 200
@@ -159,15 +159,16 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all columns. Texts move once; rows of one hot text are dealt out by their ids."""
     columns = docs.columns
+    sha, keep, n = (free_name(name, columns) for name in ("__sha", "__keep", "__n"))
     # Keys without nulls let the window read the join's exchange.
     index = build_index(text_digests(docs)).select(
-        F.col("text_sha256").alias("__sha"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("__keep")
+        F.col("text_sha256").alias(sha), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias(keep)
     )
     own = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    marked = docs.withColumn("__sha", _digest()).withColumn("__keep", own)
-    repeats = Window.partitionBy("__sha", "__keep").orderBy(F.xxhash64(*columns))
-    kept = marked.join(index, ["__sha", "__keep"], "left_semi").withColumn("__n", F.row_number().over(repeats))
-    return kept.where("__n = 1").select(*columns)
+    marked = docs.withColumn(sha, _digest()).withColumn(keep, own)
+    repeats = Window.partitionBy(sha, keep).orderBy(row_hash(docs))
+    kept = marked.join(index, [sha, keep], "left_semi").withColumn(n, F.row_number().over(repeats))
+    return kept.where(F.col(n) == 1).select(*columns)
 
 
 def _key(doc_id: int | None, row: int) -> tuple:

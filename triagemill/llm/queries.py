@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +28,9 @@ from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Where the vocabulary files of public tokenizers lie.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The vocabulary files of public tokenizers, where their package keeps them.
+PIECE_MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 #: A conversation whose texts are made of control strings of another template.

@@ -47,6 +47,14 @@ def test_drop_exact_duplicates(spark):
     assert exact_dedup.drop_exact_duplicates(docs.limit(0)).collect() == []
 
 
+def test_clashing_names_and_maps_stay(spark):
+    docs = documents(spark, odd_rows()).selectExpr("*", "'a' AS __sha", "'b' AS __KEEP", "'c' AS __n", "map('k', doc_id) AS m", "'d' AS __key")
+    for operator in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
+        got = operator(docs)
+        assert got.columns == docs.columns
+        assert {(r["__sha"], r["__KEEP"], r["__n"], r["__key"]) for r in got.collect()} == {("a", "b", "c", "d")}
+
+
 def test_cuckoo_index_grows_deletes_and_verifies():
     index = exact_dedup.CuckooIndex(buckets=2)
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
@@ -120,6 +128,35 @@ def test_odd_rows_and_long_documents(spark):
         assert operator(documents(spark, [])).collect() == []
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words of this kind and their complements have equal polynomial hashes modulo powers of two."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_with_equal_polynomial_hashes(spark):
+    start = " ".join(f"word{i}" for i in range(12))
+    rows = [(1, f"{start} {thue_morse(2048)}"), (2, f"{start} {thue_morse(2048, 'b', 'a')}")]
+    docs = documents(spark, rows).coalesce(1)
+    assert [x.n_removed for x in substring_dedup.remove_repeated_words(docs).collect()] == [0, 0]
+    again = documents(spark, [*rows, (3, rows[1][1])]).coalesce(1)
+    assert {x.doc_id: x.n_removed for x in substring_dedup.remove_repeated_words(again).collect()} == {1: 0, 2: 0, 3: 13}
+    alone = documents(spark, [(1, thue_morse(2048)), (2, thue_morse(2048, "b", "a"))])
+    assert len(simhash.drop_near_duplicates(alone).collect()) == 2
+
+
+def test_seeds_are_extended_both_ways(spark):
+    """Repeats of exactly the window and one word less, cut off by other words at either side."""
+    r = random.Random(3)
+    base = [f"v{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        at, n = r.randrange(380), r.choice([11, 12, 13, 14, 20])
+        rows.append((i, " ".join([f"x{i}", *base[at : at + n], f"y{i}", *base[(at + 40) % 380 :][:n]])))
+    got = substring_dedup.remove_repeated_words(documents(spark, rows)).withColumn("h", F.sha2("kept", 256))
+    expected = [(a, b, c, h) for a, b, c, _, h in without_repeats(rows, 13, bytes.split, b" ".join)]
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.h) for r in got.collect()], key=str) == sorted(expected, key=str)
+
+
 def test_passages_beyond_the_first_stretch(spark):
     """Texts of several stretches that share passages at other places, with each other and with a short text."""
     r = random.Random(6)
@@ -254,6 +291,21 @@ def test_near_copies_of_five_word_shingles_go(spark):
     assert near > 90 and far > 10
 
 
+def test_a_large_group_of_near_copies_settles(spark):
+    """One group whose members resemble each other in steps, beside sets that share much and are not similar."""
+    r = random.Random(21)
+    words = [f"g{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        words = list(words)
+        words[r.randrange(200)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    shared = [f"s{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join([*shared, *(f"o{i}x{k}" for k in range(40))])) for i in range(200)]
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(documents(spark, rows)).collect()}
+    assert kept == {0, *range(1000, 1200)}
+
+
 def test_shingle_sets():
     texts = ["", "One two", "a b c d e f a b c d e", "x " * 50, " lead  and\ttrail \n"]
     for text, got in zip(texts, similar_sets.shingle_sets([t.encode() for t in texts])):

@@ -117,7 +117,7 @@ def test_cutting_with_several_automata(spark, coverage):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -133,7 +133,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     got = corpus_pipeline.run(spark, sf).collect()
     ids = sorted(x.doc_id for x in got)
-    assert [i for i in ids if i >= 60] in ([], [101]) and len(ids) == 60
+    assert ids == list(range(60))
     assert all(x.round_trip for x in got)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, function in corpus_pipeline.STAGES[:-1]:

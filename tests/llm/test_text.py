@@ -1,8 +1,10 @@
 """Language, quality, pieces, token files and chat."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,6 +58,58 @@ def test_scores_against_a_plain_sum(spark):
     assert np.allclose(together[1], [model.predict([t])[1][0] for t in texts], atol=1e-3)
 
 
+def plain_bayes(train, texts):
+    """Counts and sums n-gram by n-gram; only the numbers of the buckets are the model's."""
+
+    def grams(text):
+        points = [ord(c) for c in text.lower()]
+        for i in range(len(points)):
+            h = 0
+            for n in range(max(language_id.SIZES)):
+                if i + n < len(points):
+                    h = (h + points[i + n] + n + 1) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 32
+                    yield h % language_id.BUCKETS
+
+    counts = {}
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    totals = {lang: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for lang, c in counts.items()}
+    out = []
+    for text in texts:
+        found = list(grams(text))
+        logs = {lang: sum(math.log((counts[lang][g] + language_id.SMOOTHING) / totals[lang]) for g in found) for lang in sorted(counts)}
+        best = max(logs, key=logs.get)
+        out.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return out
+
+
+def test_language_against_a_plain_counter(spark):
+    r = random.Random(5)
+    rows = [(i, spoken(r, lang, r.randint(1, 12)), lang) for i in range(240) for lang in [r.choice(["aa", "bb", "cc"])]]
+    # Mixed texts have scores between 0 and 1.
+    rows += [(1000 + i, f"{spoken(r, 'aa', 1)} {spoken(r, 'bb', 1)}", r.choice(["aa", "bb"])) for i in range(60)]
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify(documents(spark, rows)).collect()}
+    train = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5]
+    expected = plain_bayes(train, [t for _, t, _ in rows])
+    assert sum(0.01 < score < 0.99 for _, score in expected) > 5
+    for (i, _, _), (lang, score) in zip(rows, expected):
+        assert abs(got[i][1] - score) < 2e-3 and (got[i][0] == lang or score < 0.51), i
+
+
+def held_out_accuracy(spark, query, truth, column):
+    sf = "/root/testdata/sf0.01"
+    rows = query(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/{truth}.parquet"), "doc_id").select(*column).collect()
+    return sum(a == b for a, b in rows) / len(rows), len(rows)
+
+
+def test_held_out_accuracy_on_the_given_tables(spark):
+    accuracy, n = held_out_accuracy(spark, queries.op3_language_id, "documents", ("lang_pred", "lang"))
+    assert accuracy >= 0.97 and n > 100
+    accuracy, n = held_out_accuracy(spark, queries.op1_quality, "labels", ("predicted", "quality"))
+    assert accuracy >= 0.8 and n > 50
+
+
 # --- quality -------------------------------------------------------------------------------------------------------
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import stage
 from . import similar_sets
-from .common import LOWER, partitions, slices, text_bytes
+from .common import LOWER, partitions, row_hash, slices, text_bytes
 
 SHINGLE = 3
 DISTANCE = 3
@@ -223,7 +223,7 @@ def drop_near_duplicates(
     # Rows of one key have equal texts and with them one component. The key has no nulls, so the window reads the join's exchange.
     rest = keyed.join(kept, key, "left_semi")
     n = _free("__n", columns)
-    repeats = Window.partitionBy(key).orderBy(F.xxhash64(*columns))
+    repeats = Window.partitionBy(key).orderBy(row_hash(docs))
     return rest.withColumn(n, F.row_number().over(repeats)).where(F.col(n) == 1).select(*columns)
 
 

@@ -98,6 +98,14 @@ def test_end_to_end(spark):
     assert "185.220.101.1 (ipv4)" in one.summary and f"Severity: {one.severity.upper()}." in one.summary
     assert "No indicators matched" in two.summary and three.indicators == [] == three.techniques
 
+    # Texts read once or twice: the same but for the order in which scores are summed.
+    scores = F.transform("techniques", lambda t: F.struct(t["id"], F.round(t["score"], 9)))
+    once, twice = (
+        sorted(map(repr, df.select("alert_id", "indicators", "severity", "summary", scores.alias("scores")).collect()))
+        for df in (triaged, alert_triage.triage_alerts(alerts, staged=False))
+    )
+    assert once == twice
+
     triaged = alert_triage.triage_alerts(alerts, context=True)
     path = new_path(spark, "reports")
     sinks.write_json(alert_triage.alert_report(triaged, alerts), path)

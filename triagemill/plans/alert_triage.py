@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,31 +16,46 @@ from ..sources import bundled
 from .staging import stage
 
 
-def read_texts(alerts: DataFrame, context: bool = False) -> DataFrame:
-    """``(alert_id, indicators, terms)`` of every alert, staged: all that is read from a text, read once.
+@dataclass(frozen=True)
+class TextParts:
+    """What is read from the texts: ``(alert_id, indicators)`` and ``(alert_id, terms)``."""
+
+    keys: DataFrame
+    indicators: DataFrame
+    terms: DataFrame
+
+
+def read_texts(alerts: DataFrame, context: bool = False, staged: bool = True) -> TextParts:
+    """Indicators and terms of every alert. Retrieval reads the text as it came, indicators are searched in the refanged one.
 
-    Retrieval reads the text as it came, indicators are searched in the refanged one.
+    By default both are staged from one reading of the texts. Unstaged they are two branches of one plan, which each read
+    the texts and write nothing; that may pay where texts are cheap to read and what is found in them is large.
     """
-    found = with_terms(with_indicators(alerts.select(KEY, "text"), context=context), F.col("text"))
-    return stage(found.select(KEY, "indicators", "terms"), "texts")
+    own = alerts.select(KEY, "text")
+    if staged:
+        found = with_terms(with_indicators(own, context=context), F.col("text"))
+        texts = stage(found.select(KEY, "indicators", "terms"), "texts")
+        return TextParts(texts.select(KEY), texts.select(KEY, "indicators"), texts.select(KEY, "terms"))
+    found = with_indicators(own, context=context).select(KEY, "indicators")
+    return TextParts(alerts.select(KEY), found, with_terms(own, F.col("text")).select(KEY, "terms"))
 
 
 def gather_evidence(
-    texts: DataFrame, corpus: DataFrame | None = None, feed: DataFrame | None = None, top_k: int = V.TOP_K
+    texts: TextParts, corpus: DataFrame | None = None, feed: DataFrame | None = None, top_k: int = V.TOP_K
 ) -> DataFrame:
     """Per alert: indicators with enrichment, techniques and severity flags. Feed and corpus default to the bundled.
 
     ``texts`` comes from :func:`read_texts`; ``feed`` has unique keys, as the feed readers give it. The index of the
     corpus is staged: it is built once, and its real size decides whether the join with the queries is a broadcast.
     """
-    spark = texts.sparkSession
+    spark = texts.keys.sparkSession
     corpus = corpus if corpus is not None else bundled.techniques(spark)
     if feed is None:
         feed = bundled.demo_feed(spark).select("category", F.lower("value").alias("value_lc"), "confidence", "source", "notes")
     index = stage(retrieval_index(corpus), "index")
-    found = texts.select(KEY, F.explode("indicators").alias("i"))
+    found = texts.indicators.select(KEY, F.explode("indicators").alias("i"))
     enriched = enrich(found.select(KEY, "i.category", "i.value", "i.value_lc", "i.context"), feed)
-    ranked = top_techniques(texts, corpus, top_k, index=index, counts=exploded_terms(texts, KEY))
+    ranked = top_techniques(texts.terms, corpus, top_k, index=index, counts=exploded_terms(texts.terms, KEY))
     return alert_evidence(enriched, matched_techniques(ranked, corpus))
 
 
@@ -49,21 +66,26 @@ def triage_alerts(
     top_k: int = V.TOP_K,
     summary: Column | None = None,
     context: bool = False,
+    staged: bool = True,
 ) -> DataFrame:
-    """One row per alert: indicators, techniques, severity, summary. Texts are read once and never shuffled.
+    """One row per alert: indicators, techniques, severity, summary. Texts are never shuffled.
 
     With ``context`` the indicators carry what stands around them, as reports want it.
     """
-    texts = read_texts(alerts, context)
-    scored = score_alerts(texts.select(KEY), gather_evidence(texts, corpus, feed, top_k))
+    texts = read_texts(alerts, context, staged)
+    scored = score_alerts(texts.keys, gather_evidence(texts, corpus, feed, top_k))
     return scored.withColumn("summary", summary if summary is not None else triage_summary())
 
 
 def prompt_table(
-    alerts: DataFrame, corpus: DataFrame | None = None, feed: DataFrame | None = None, top_k: int = V.TOP_K
+    alerts: DataFrame,
+    corpus: DataFrame | None = None,
+    feed: DataFrame | None = None,
+    top_k: int = V.TOP_K,
+    staged: bool = True,
 ) -> DataFrame:
     """``(alert_id, prompt)``: the one place where the text travels with its evidence."""
-    evidence = gather_evidence(read_texts(alerts), corpus, feed, top_k)
+    evidence = gather_evidence(read_texts(alerts, staged=staged), corpus, feed, top_k)
     return score_alerts(alerts.select(KEY, "text"), evidence).select(KEY, prompt().alias("prompt"))
 
 

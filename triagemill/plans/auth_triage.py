@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +20,30 @@ from .staging import stage
 Summarizer = Callable[[DataFrame], DataFrame]
 
 
-@dataclass(frozen=True)
 class AuthTriage:
-    """Findings (one row each) and summary (one row per log file) of a run."""
+    """Findings (one row each) and summary (one row per log file) of a run.
 
-    findings: DataFrame
-    summary: DataFrame
+    Both are plans over the staged events: who reads one of them pays for nothing else. Reports, which read both more
+    than once, take them from :meth:`kept`.
+    """
+
+    def __init__(self, findings: DataFrame, ranges: DataFrame, summarizer: Summarizer, staged: bool):
+        self.findings = findings
+        self._ranges, self._summarizer, self._staged = ranges, summarizer, staged
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return self._summarizer(score.scope_summary(self._ranges, self.findings))
+
+    @cached_property
+    def _kept(self) -> AuthTriage:
+        own = AuthTriage(stage(self.findings, "findings"), self._ranges, self._summarizer, False)
+        own.summary = stage(own.summary, "summary")
+        return own
+
+    def kept(self) -> AuthTriage:
+        """The same with findings and summary staged, once."""
+        return self._kept if self._staged else self
 
 
 def triage_events(
@@ -37,17 +55,14 @@ def triage_events(
 ) -> AuthTriage:
     """Run every detector over parsed events.
 
-    By default all events are staged by kind without their texts: lines are parsed once, the detectors read only the
-    kinds they look at, time ranges come from two columns, and findings and summary are staged in turn for reports.
+    By default all events are staged without their texts, so lines are parsed once. They are sorted by kind within
+    their split, which costs no shuffle and lets a detector skip the pages of kinds it does not look at.
     """
     narrow = without_text(events)
     if staged:
-        narrow = stage(narrow, "events", ["kind"])
+        narrow = stage(narrow.sortWithinPartitions("kind"), "events")
     findings = all_findings(security_events(narrow), window_seconds, threshold)
-    if staged:
-        findings = stage(findings, "findings")
-    summary = summarizer(score.scope_summary(score.event_ranges(narrow), findings))
-    return AuthTriage(findings, stage(summary, "summary") if staged else summary)
+    return AuthTriage(findings, score.event_ranges(narrow), summarizer, staged)
 
 
 def triage_logs(
@@ -106,6 +121,7 @@ def markdown_report(triage: AuthTriage, generated_at: datetime) -> DataFrame:
 
     A block is at most a few lines, whatever the number of findings of a file.
     """
+    triage = triage.kept()
     s, found = triage.summary, F.col("total_findings") > 0
     span = F.when(
         F.col("start").isNotNull(), F.concat(F.lit("Time range: "), iso(F.col("start")), F.lit(" to "), iso(F.col("end")))
@@ -158,6 +174,7 @@ def json_report(triage: AuthTriage, generated_at: datetime) -> DataFrame:
 
     Every finding but the first of a file opens with a comma; the first is known from one aggregate.
     """
+    triage = triage.kept()
     order = F.struct(*ORDER_KEYS)
     first = triage.findings.groupBy(SCOPE).agg(F.min(order).alias("_first"))
     span = F.when(

@@ -13,7 +13,7 @@ from ..plans import auth_triage
 from ..plans.staging import new_path
 from ..sources.sinks import in_order
 from ..sources.text import read_numbered, read_syslog
-from ..streaming import brute_force, watch
+from ..streaming import brute_force, look_back, watch
 from .tables import AUTH_LINES_SQL, auth_lines
 
 AS_OF = datetime(2024, 1, 1, 1, 30)
@@ -87,25 +87,35 @@ def brute_force_window(spark, sf_dir):
     )
 
 
-def watch_brute_force(spark, sf_dir):
-    """The detector on a stream: events arrive in two parts, the stream is started again for the second one.
+def _watched(spark, sf_dir, stream_of):
+    """What a stream gives for events that arrive in two parts; it is started again for the second one.
 
-    An event of the next year ends the second part, so that the watermark passes all others.
+    Events of the next year end the second part, so that the watermark passes all others.
     """
     folder, out, progress = (new_path(spark, name) for name in ("arriving", "found", "progress"))
     events = _events(spark, sf_dir).select("source_file", "seq", "ts", "kind", "fields")
-    noon = F.lit("2024-01-01 01:30:00").cast("timestamp_ntz")
-    end = events.limit(1).withColumn("ts", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")).withColumn("kind", F.lit(V.KIND_FAILED))
-    end = end.withColumn("source_file", F.lit("end"))
-    for part in (events.where(F.col("ts") < noon), events.where(F.col("ts") >= noon).unionByName(end)):
+    middle, later = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-01 01:30:00", "2025-01-01 00:00:00"))
+    end = events.limit(1).withColumns({"ts": later, "source_file": F.lit("end")})
+    ends = [end.withColumn("kind", F.lit(kind)) for kind in (V.KIND_FAILED, V.KIND_ACCEPTED)]
+    for part in (events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle).unionByName(ends[0]).unionByName(ends[1])):
         part.write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(events.schema).parquet(folder)
-        watch.start(brute_force.watch_brute_force(stream), out, progress).awaitTermination()
-    return spark.read.parquet(out).select(
+        stream = stream_of(spark.readStream.schema(events.schema).parquet(folder))
+        watch.start(stream, out, progress).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def watch_brute_force(spark, sf_dir):
+    return _watched(spark, sf_dir, brute_force.watch_brute_force).select(
         "source_file", "ip", _text("first_ts"), _text("last_ts"), F.array_join("users", ",").alias("users")
     )
 
 
+def watch_compromise(spark, sf_dir):
+    return _watched(spark, sf_dir, look_back.watch_compromise).select(
+        "source_file", "seq", "ip", "user", _text("ts"), _text("first_ts"), "prior"
+    )
+
+
 def brute_force_hour(spark, sf_dir):
     """The same with another window and threshold."""
     return detect.brute_force_clusters(_events(spark, sf_dir), window_seconds=3600, threshold=9).select(
@@ -205,6 +215,7 @@ QUERIES = {
     "event_kinds": event_kinds,
     "brute_force_window": brute_force_window,
     "watch_brute_force": watch_brute_force,
+    "watch_compromise": watch_compromise,
     "brute_force_hour": brute_force_hour,
     "compromise_lookback": compromise_lookback,
     "near_prior_finding": near_prior_finding,
@@ -433,6 +444,10 @@ ORACLES = {
         EVENTS_SQL + "," + COMPROMISED_SQL,
         f'SELECT source_file, seq, ip, usr AS "user", {_TS}, CAST(first_ts AS VARCHAR) AS first_ts, prior FROM compromised',
     ),
+    "watch_compromise": _with(
+        EVENTS_SQL + "," + COMPROMISED_SQL,
+        f'SELECT source_file, seq, ip, usr AS "user", {_TS}, CAST(first_ts AS VARCHAR) AS first_ts, prior FROM compromised',
+    ),
     "near_prior_finding": _with(
         EVENTS_SQL + "," + COMPROMISED_SQL,
         """SELECT s.source_file, s.seq, EXISTS (SELECT 1 FROM compromised c WHERE c.source_file = s.source_file

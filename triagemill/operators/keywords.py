@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pin import pin
 from ..plans.staging import stage
-from .gram_index import candidates
+from .gram_index import candidates, held, is_key
 
 #: More keywords than this are a table to join with (``sweep_table``), not configuration.
 MOST_KEYWORDS = 10_000
@@ -45,9 +45,10 @@ def keyword_sweep(docs: DataFrame, keywords: Sequence[str], key: str, text: str
 def sweep_table(docs: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows of :func:`keyword_sweep` for a keyword table ``(ord, keyword)`` of any size.
 
-    Lower-cased texts are staged once. An index on the rarest letters of each keyword proposes pairs (see
-    ``gram_index``), and ``contains`` decides them. A null text counts as empty, a null keyword is left out. Rows of
-    ``docs`` and of ``keywords`` that repeat, or that share a key, each give rows of their own.
+    Lower-cased texts are staged once. A keyword of a few bytes is a key of the index (see ``gram_index``), so a
+    join finds all that hold it. For longer ones the index on their rarest bytes proposes pairs, and ``contains``
+    decides them. A null text counts as empty, a null keyword is left out. Rows of ``docs`` and of ``keywords`` that
+    repeat, or that share a key, each give rows of their own.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("id"),
@@ -56,8 +57,15 @@ def sweep_table(docs: DataFrame, keywords: DataFrame, key: str, text: str = "tex
     )
     rows = stage(rows, "sweep-texts")
     listed = stage(keywords.where(F.col("keyword").isNotNull()).select("ord", "keyword"), "sweep-keywords")
-    literals = listed.select(F.col("keyword").alias("entry"), F.lit("").alias("space"), F.col("keyword").alias("part"))
+    short, longer = listed.where(is_key("keyword")), listed.where(~is_key("keyword"))
+    runs = held(
+        rows.select(F.struct("id", "_key").alias("id"), "text"), short.select("ord", F.col("keyword").alias("part"))
+    )
+    found = runs.select(F.col("id._key").alias(key), "ord", F.col("part").alias("keyword"))
+    if longer.isEmpty():
+        return found
+    literals = longer.select(F.col("keyword").alias("entry"), F.lit("").alias("space"), F.col("keyword").alias("part"))
     pairs = candidates(rows.select("id", F.lit("").alias("space"), "text"), literals.distinct())
     met = rows.join(pairs, "id").where(F.contains(F.col("text"), F.col("entry")))
-    found = met.select(F.col("_key").alias(key), "entry").join(listed, F.col("entry") == F.col("keyword"))
-    return found.select(key, "ord", "keyword")
+    proved = met.select(F.col("_key").alias(key), "entry").join(longer, F.col("entry") == F.col("keyword"))
+    return found.unionByName(proved.select(key, "ord", "keyword"))

@@ -8,8 +8,9 @@ Components of links that are already known come first. Then, in rounds, only key
 are looked at, so a settled cluster gives no row at all. In each such key the sets of other components are compared with
 its leaders: one in the first round, ``LEADERS`` in later ones. A leader has then met every set of its key that it is not
 connected with, and leaves the key. The rounds end when no key holds two components any longer, and then every pair
-that shares a key has been compared or is connected; or, where very many sets share a key without resembling each
-other, after ``QUIET`` rounds in a row that found no link. Pairs grow with the number of sets, however many share a key.
+that shares a key has been compared or is connected. Where very many sets share a key without resembling each other,
+rounds find little: after ``QUIET`` rounds in a row that found no link, the sets of the keys that are still open are
+joined exactly, by the rarest shingles of each (see ``_unmet``). So every pair that shares a key is decided.
 
 Defined results: a text without words has the empty set, which resembles no other; all such texts are equal. Texts that
 differ in nothing but case, blanks or the order and number of equal shingles have equal sets and are merged. Ties do not
@@ -105,9 +106,53 @@ def set_links(
         done = leaders.select("band", F.col("lead").alias("set"))
         members = _open(members.join(done, ["band", "set"], "left_anti"), roots)
         turn += 1
+    if not members.isEmpty():
+        new = stage(_unmet(members, held, similarity), "similar")
+        if not new.isEmpty():
+            roots = _joined(roots, new, components)
     return roots
 
 
+def _unmet(members: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: every two similar sets of different components among ``members``, without their keys.
+
+    Two sets of similarity s share s times the shingles of the larger one at least. So, with all shingles in one order,
+    they share one of the first n - ceil(s n) + 1 of either. The rarest come first, so few sets meet in each of them.
+    """
+    of = members.select("set", "root").distinct()
+    listed = held.join(of, "set").mapInArrow(_listed, "set long, root long, size long, shingle long")
+    listed = stage(listed, "shingles")
+    common = listed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    # Shingles of one set alone stand first in its order and meet nothing.
+    own = Window.partitionBy("set")
+    place = F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own)
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1
+    placed = listed.join(common, "shingle").withColumn("place", place).where(F.col("place") <= first)
+    placed = stage(placed.select("set", "root", "size", "shingle"), "rarest")
+    one, two = (placed.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("set", "root", "size"))) for side in "ab")
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6
+    met = one.join(two, "shingle").where((F.col("set_a") > F.col("set_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    pairs = met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+    left = held.select(F.col("set").alias("a"), F.col("shingles").alias("left"))
+    right = held.select(F.col("set").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_similar(similarity), "a long, b long")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "shingles", SLICE_BYTES):
+            found = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            rows = pa.array(np.repeat(np.arange(len(found)), sizes))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("set").take(rows), batch.column("root").take(rows), pa.array(np.repeat(sizes, sizes)),
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *found])),
+                ],
+                ["set", "root", "size", "shingle"],
+            )
+
+
 def _joined(roots: DataFrame, new: DataFrame, components: Callable) -> DataFrame:
     """``roots`` after more links: only the links between components are followed, then each component is named anew."""
     of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")) for c in "ab")

@@ -40,6 +40,45 @@ def test_pairs_that_no_leader_met(spark, common):
         assert of(i) == {j for j in range(len(texts)) if j == i or similarity(found[i], found[j]) >= similar_sets.SIMILARITY}
 
 
+def test_shared_shingles_of_all_pairs():
+    """Rare and frequent shingles, repeated and empty sets."""
+    r = np.random.Generator(np.random.PCG64(3))
+    sets = [np.unique(r.choice(r.choice([30, 3000, 200_000]), r.integers(0, 60)).astype(np.uint64)) for _ in range(90)]
+    sets += [sets[5], np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    counts = similar_sets.shared_counts(sets)
+    assert all(counts[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_sets_of_a_crowded_key_are_not_joined_pair_by_pair(spark, monkeypatch, block):
+    """Copies of one text with changes of their own: most pairs share their rarest common shingles, few are similar."""
+    monkeypatch.setattr(similar_sets, "BLOCK", block)
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for k in r.sample(range(120), r.choice([4, 5, 6])):
+            words[k] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+    texts += [t.replace(t.split()[0], f"z{i}", 1) for i, t in enumerate(texts[:9])]
+    found = similar_sets.shingle_sets([t.encode() for t in texts])
+    members = spark.createDataFrame([(k, i, i) for i in range(len(texts)) for k in (1, 2)], "band long, set long, root long")
+    held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(found)], "set long, shingles binary")
+    unmet = similar_sets._unmet(members, held, similar_sets.SIMILARITY)
+    roots = {x.node: x.root for x in simhash.components(unmet).collect()}
+    assert "shingle#" not in unmet._jdf.queryExecution().optimizedPlan().toString()
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(found[i], found[j]) >= similar_sets.SIMILARITY]
+    label = list(range(len(texts)))
+    while True:
+        was = list(label)
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+        if was == label:
+            break
+    assert [roots.get(i, i) for i in range(len(texts))] == label and 9 <= len({i for p in near for i in p}) < len(texts)
+
+
 def test_rest_of_near_dedup_keeps_empty_texts_apart(spark):
     rows = [(i, t) for i, t in enumerate(["", " ", None, "a", "A", "b c d e f g", "b c d e f h"])]
     kept = {x.doc_id for x in simhash.drop_near_duplicates(documents(spark, rows)).collect()}

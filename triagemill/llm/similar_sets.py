@@ -9,8 +9,8 @@ are looked at, so a settled cluster gives no row at all. In each such key the se
 its leaders: one in the first round, ``LEADERS`` in later ones. A leader has then met every set of its key that it is not
 connected with, and leaves the key. The rounds end when no key holds two components any longer, and then every pair
 that shares a key has been compared or is connected. Where very many sets share a key without resembling each other,
-rounds find little: after ``QUIET`` rounds in a row that found no link, the sets of the keys that are still open are
-joined exactly, by the rarest shingles of each (see ``_unmet``). So every pair that shares a key is decided.
+rounds find little: after ``QUIET`` rounds in a row that found no link, all sets of each key that is still open are
+compared, in tiles of bounded size (see ``_unmet``). So every pair that shares a key is decided.
 
 Defined results: a text without words has the empty set, which resembles no other; all such texts are equal. Texts that
 differ in nothing but case, blanks or the order and number of equal shingles have equal sets and are merged. Ties do not
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from .common import LOWER, slices, text_bytes
+from .common import LOWER, partitions, slices, text_bytes
 from .word_hashes import mixed
 
 SIZE = 5
@@ -37,6 +37,10 @@ ROWS = 8
 BANDS = 40
 LEADERS = 4
 QUIET = 2
+#: Sets of a block, and bytes of their shingles; two blocks meet in a task.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: A shingle of so many sets of a tile gives its pairs one by one; others are so many columns of a matrix at a time.
+FEW, COLUMNS = 8, 2048
 SLICE_BYTES = 1 << 18
 _SEED = np.random.Generator(np.random.PCG64(20_240_805))
 _FLIP = _SEED.integers(0, 1 << 32, (ROWS * BANDS, 1), dtype=np.uint32)
@@ -114,43 +118,98 @@ def set_links(
 
 
 def _unmet(members: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: every two similar sets of different components among ``members``, without their keys.
+    """``a, b``: links that connect every two similar sets of different components that share a key.
 
-    Two sets of similarity s share s times the shingles of the larger one at least. So, with all shingles in one order,
-    they share one of the first n - ceil(s n) + 1 of either. The rarest come first, so few sets meet in each of them.
+    The sets of a key are dealt to blocks of about ``BLOCK`` sets or ``BLOCK_BYTES``, and every two blocks meet in one task, which counts the
+    shingles of all pairs at once. Only links between clusters leave it.
     """
-    of = members.select("set", "root").distinct()
-    listed = held.join(of, "set").mapInArrow(_listed, "set long, root long, size long, shingle long")
-    listed = stage(listed, "shingles")
-    common = listed.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    # Shingles of one set alone stand first in its order and meet nothing.
-    own = Window.partitionBy("set")
-    place = F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own)
-    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1
-    placed = listed.join(common, "shingle").withColumn("place", place).where(F.col("place") <= first)
-    placed = stage(placed.select("set", "root", "size", "shingle"), "rarest")
-    one, two = (placed.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("set", "root", "size"))) for side in "ab")
-    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6
-    met = one.join(two, "shingle").where((F.col("set_a") > F.col("set_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    pairs = met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
-    left = held.select(F.col("set").alias("a"), F.col("shingles").alias("left"))
-    right = held.select(F.col("set").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_similar(similarity), "a long, b long")
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "shingles", SLICE_BYTES):
-            found = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("shingles")]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            rows = pa.array(np.repeat(np.arange(len(found)), sizes))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("set").take(rows), batch.column("root").take(rows), pa.array(np.repeat(sizes, sizes)),
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *found])),
-                ],
-                ["set", "root", "size", "shingle"],
-            )
+    n = partitions(members)
+    sized = members.join(held.select("set", F.octet_length("shingles").alias("bytes")), "set")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = sized.groupBy("band").agg(blocks.alias("blocks"))
+    placed = members.join(sizes, "band").withColumn("place", F.expr("cast(pmod(xxhash64(set, band), blocks) as int)"))
+    sides = F.expr(
+        "transform(sequence(0, blocks - 1), o -> struct(least(place, o) as i, greatest(place, o) as j))"
+    )
+    tiles = placed.select("band", "set", "root", F.explode(sides).alias("t")).select("band", "t.*", "set", "root")
+    tiles = tiles.join(held, "set").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "set")
+    return tiles.select("band", "i", "j", "set", "root", "shingles").mapInArrow(_tiles(similarity), "a long, b long").distinct()
+
+
+def _tiles(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, roots, shingles = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            a, b = near_links(np.array(sets, np.int64), np.array(roots, np.int64), shingles, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("band", "i", "j", "set", "root")]
+            for tile, one, root, held in zip(zip(*columns[:3]), *columns[3:], batch.column("shingles")):
+                if tile != now:
+                    if len(sets) > 1:
+                        yield links()
+                    now, sets, roots, shingles = tile, [], [], []
+                sets.append(one)
+                roots.append(root)
+                # A copy, so that no batch is held longer than it is read.
+                shingles.append(np.frombuffer(held.as_py(), np.uint64))
+        if len(sets) > 1:
+            yield links()
+
+    return run
+
+
+def shared_counts(shingles: list[np.ndarray]) -> np.ndarray:
+    """For every two sets the number of shingles they share."""
+    n = len(shingles)
+    owners = np.repeat(np.arange(n), [len(s) for s in shingles])
+    every = np.concatenate([np.zeros(0, np.uint64), *shingles])
+    order = np.argsort(every, kind="stable")
+    every, owners = every[order], owners[order]
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(every)])
+    counts = np.zeros((n, n), np.float32)
+    # A shingle of few sets gives its pairs; those of many are columns of a matrix.
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
+        at = starts[sizes == size]
+        rows = owners[at[:, None] + np.arange(size)]
+        for i in range(size):
+            for j in range(i):
+                np.add.at(counts, (rows[:, i], rows[:, j]), 1)
+                np.add.at(counts, (rows[:, j], rows[:, i]), 1)
+    many, last = starts[sizes > FEW], (starts + sizes)[sizes > FEW]
+    for at in range(0, len(many), COLUMNS):
+        matrix = np.zeros((n, min(COLUMNS, len(many) - at)), np.float32)
+        for k, (first, stop) in enumerate(zip(many[at : at + COLUMNS].tolist(), last[at : at + COLUMNS].tolist())):
+            matrix[owners[first:stop], k] = 1
+        counts += matrix @ matrix.T
+    return counts
+
+
+def near_links(
+    sets: np.ndarray, roots: np.ndarray, shingles: list[np.ndarray], similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each set to the smallest of its cluster, where clusters join by similar sets of different roots."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in shingles], np.float64)
+    both = shared_counts(shingles)
+    near = np.zeros((n, n), bool)
+    for i in range(n):
+        union = sizes[i] + sizes - both[i]
+        near[i] = (both[i] > 0) & (roots != roots[i]) & (both[i] / np.maximum(union, 1) >= similarity)
+        near[i, i] = True
+    label = np.arange(n)
+    while True:
+        was = label
+        label = np.array([was[near[i]].min() for i in range(n)])
+        label = np.minimum(label, label[label])
+        if (label == was).all():
+            break
+    # The links stand for paths of similar sets.
+    moved = np.flatnonzero(label != np.arange(n))
+    return sets[moved], sets[label[moved]]
 
 
 def _joined(roots: DataFrame, new: DataFrame, components: Callable) -> DataFrame:

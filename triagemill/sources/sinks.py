@@ -21,6 +21,10 @@ def write_lines(lines: DataFrame, keys: Sequence[str], path: str, line: str = "l
     in_order(lines, keys).select(line).write.mode("overwrite").text(path)
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    """One JSON object per row; nulls are written, so every report has all its keys."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json(rows: DataFrame, path: str, compression: str | None = None) -> None:
+    """One JSON object per row; nulls are written, so every report has all its keys.
+
+    Readers open files of a ``compression`` such as gzip by their names. They do not split them; each has what one task
+    has written.
+    """
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)

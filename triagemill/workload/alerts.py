@@ -237,11 +237,11 @@ def prompt_table(spark, sf_dir):
 
 
 def alert_report_json(spark, sf_dir):
-    """The JSON report of each alert, written and read back as text."""
+    """The JSON report of each alert, written in compressed files and read back as text."""
     texts = alerts(spark, sf_dir)
     triaged = alert_triage.triage_alerts(texts, corpus(spark, sf_dir), _feed(spark, sf_dir), context=True)
     path = new_path(spark, "reports")
-    sinks.write_json(alert_triage.alert_report(triaged, texts), path)
+    sinks.write_json(alert_triage.alert_report(triaged, texts), path, compression="gzip")
     report = F.regexp_extract("value", r'^\{"alert_id":(\d+),(.*)$', 2)
     key = F.regexp_extract("value", r'^\{"alert_id":(\d+),', 1).cast("bigint")
     return spark.read.text(path).select(key.alias("alert_id"), F.concat(F.lit("{"), report).alias("report"))

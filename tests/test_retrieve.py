@@ -89,3 +89,25 @@ def test_bundled_techniques(techniques):
     assert "T1486" in [r.id for r in techniques("ransomware left files encrypted and a note asking for payment")]
     assert len(techniques("malicious link in a phishing email opened by a user", 2)) == 2
     assert all(r.score < 0.2 for r in techniques("Cakes and cookies will be sold at the school fair on Sunday"))
+
+
+def test_a_task_sums_up_a_bounded_number_of_pairs(spark, monkeypatch):
+    """Queries are dealt out by their number and that of the passages; neither pairs nor sums are shuffled again."""
+    passages = spark.createDataFrame([(i, "p", f"common word{i} word{i % 7}") for i in range(20)], "ord int, name string, text string")
+    texts = [(i, f"common word{i % 30} unheard{i}") for i in range(100)] + [(100, None), (7, "word3"), (None, "common")]
+    queries = spark.createDataFrame(texts, "alert_id long, text string")
+    index = stage(retrieve.retrieval_index(passages), "index")
+
+    def best():
+        found = retrieve.top_techniques(queries, passages, index=index)
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return sorted(((-1 if r.alert_id is None else r.alert_id, r["rank"], r.ord, round(r.score, 9)) for r in rows)), plan
+
+    whole, _ = best()
+    monkeypatch.setattr(retrieve, "PAIRS_PER_TASK", 50)
+    dealt, plan = best()
+    assert dealt == whole and len({r[0] for r in whole}) == 101
+    shuffles = re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan)
+    assert shuffles and {n for keys, n in shuffles if "alert_id" in keys} == {str(-(-103 * 20 // 50))}
+    assert not any("alert_id" in keys and "ord" in keys for keys, _ in shuffles)

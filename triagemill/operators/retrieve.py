@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.pin import pin
+from .bloom import bloom_filter, might_hold, words_for
 
 SCORE_DIGITS_FOR_TIES = 9
+#: Pairs of a query and a document that one task may sum up at once, and the most tasks they are dealt to.
+PAIRS_PER_TASK = 1 << 19
+MOST_TASKS = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -51,6 +55,23 @@ def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return exploded_terms(with_terms(docs.select(key, text.alias("_own")), F.col("_own")).select(key, "terms"), key)
 
 
+def dealt(terms: DataFrame, pairs: int, index: DataFrame, key: str = "alert_id") -> DataFrame:
+    """Queries with their terms, dealt out by key so that a task sums up a bounded number of pairs, whatever the input.
+
+    ``pairs`` is the number of queries times that of documents. Terms that a Bloom filter of the index does not know
+    stay behind. Where the index is broadcast, all up to the best documents of a query happens in the same task.
+    """
+    known = index.where(F.col("ord").isNull())
+    words = words_for(known.count())
+    rows = terms.withColumn("_known", bloom_filter(F.col("term"), known, words))
+    met = F.struct(
+        F.filter("terms.counts", lambda c: might_hold(F.col("_known"), c["term"], words)).alias("counts"),
+        F.col("terms.max_n").alias("max_n"),
+    )
+    tasks = max(terms.sparkSession.sparkContext.defaultParallelism, min(-(-pairs // PAIRS_PER_TASK), MOST_TASKS))
+    return rows.select(key, met.alias("terms")).repartition(tasks, key)
+
+
 def augmented_tf() -> Column:
     """0.5 + 0.5 n / max n; the maximum is over all terms of the text, known to the corpus or not."""
     return F.lit(0.5) + F.lit(0.5) * F.col("n") / F.col("max_n")
@@ -105,8 +126,8 @@ def retrieval_index(corpus: DataFrame) -> DataFrame:
 def dot_products(counts: DataFrame, index: DataFrame, key: str = "alert_id") -> DataFrame:
     """``(key, ord, dot)``: dot products of each query with the documents that share a term with it.
 
-    ``counts`` are the terms of the queries. The row without ``ord`` holds the squared norm of the query. All rows of a
-    query come from one row of one task, so the sums are complete before the shuffle.
+    ``counts`` are the terms of the queries. The row without ``ord`` holds the squared norm of the query. If the queries
+    are :func:`dealt` out by key, neither the pairs nor the sums are shuffled behind a broadcast index.
     """
     tf = augmented_tf()
     part = tf * F.col("idf") * F.col("weight") * F.when(F.col("ord").isNull(), tf).otherwise(1.0)
@@ -128,8 +149,11 @@ def top_techniques(
 
     Dot products that agree in ``SCORE_DIGITS_FOR_TIES`` digits are ties. ``counts`` may give the terms of the queries.
     """
-    counts = counts if counts is not None else term_counts(queries, key, F.col(text))
-    dots = dot_products(counts, index if index is not None else retrieval_index(corpus), key)
+    index = index if index is not None else retrieval_index(corpus)
+    if counts is None:
+        terms = with_terms(queries.select(key, F.col(text).alias("_own")), F.col("_own")).select(key, "terms")
+        counts = exploded_terms(dealt(terms, queries.count() * corpus.count(), index, key), key)
+    dots = dot_products(counts, index, key)
     # The norm row stands first; the group limit keeps it and the best k, and drops the rest before the shuffle.
     best = Window.partitionBy(key).orderBy(
         F.col("ord").isNotNull(), F.round("dot", SCORE_DIGITS_FOR_TIES).desc(), "ord"

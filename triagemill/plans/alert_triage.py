@@ -11,7 +11,7 @@ from ..functions import fixed_values as V
 from ..operators.alerts import KEY, alert_evidence, prompt, score_alerts, triage_summary
 from ..operators.enrich import enrich
 from ..operators.indicators import with_indicators
-from ..operators.retrieve import exploded_terms, matched_techniques, retrieval_index, top_techniques, with_terms
+from ..operators.retrieve import dealt, exploded_terms, matched_techniques, retrieval_index, top_techniques, with_terms
 from ..sources import bundled
 from .staging import stage
 
@@ -55,7 +55,8 @@ def gather_evidence(
     index = stage(retrieval_index(corpus), "index")
     found = texts.indicators.select(KEY, F.explode("indicators").alias("i"))
     enriched = enrich(found.select(KEY, "i.category", "i.value", "i.value_lc", "i.context"), feed)
-    ranked = top_techniques(texts.terms, corpus, top_k, index=index, counts=exploded_terms(texts.terms, KEY))
+    counts = exploded_terms(dealt(texts.terms, texts.keys.count() * corpus.count(), index), KEY)
+    ranked = top_techniques(texts.terms, corpus, top_k, index=index, counts=counts)
     return alert_evidence(enriched, matched_techniques(ranked, corpus))
 
 

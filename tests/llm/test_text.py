@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -235,6 +236,17 @@ def test_double_array_trie():
     assert [find(w) for w in (b"", b"abd", b"z", b"c", "é".encode()[:1])] == [-1] * 5
 
 
+def test_pieces_hold_a_slice_of_a_batch_at_a_time(vocabulary):
+    """Long batches come back in parts, and words that were seen once are forgotten."""
+    texts = [" ".join(f"w{i}x{n}" for n in range(50_000)) for i in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    held = type("Held", (), {"value": vocabulary})
+    found = list(pieces._encode(held)(iter([batch])))
+    assert [b.num_rows for b in found] == [2, 2]
+    assert [t for b in found for t in b.column("text").to_pylist()] == texts
+    assert len(vocabulary.memo) <= pieces.MEMO + 100_000
+
+
 def test_pieces_of_documents(spark):
     rows = odd_rows()
     got = pieces.encode_documents(documents(spark, rows, extra=True), queries.PIECE_MODEL).collect()

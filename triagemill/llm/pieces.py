@@ -28,8 +28,8 @@ from .common import slices
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 UNKNOWN_PENALTY = 10.0
-MEMO = 300_000
-SLICE_BYTES = 4 << 20
+MEMO = 150_000
+SLICE_BYTES = 1 << 20
 ENCODED = "doc_id long, n_tokens long, n_byte_tokens long, ids array<int>, text string, round_trip boolean"
 
 
